@@ -196,6 +196,11 @@ def find(docs: DataFrame, text_col: str = "text", fdr: float = 0.05, min_bits: f
     return out.withColumn("secret_spans", F.array_sort(F.concat("__base", ranked(kept, 3)))).drop("__base")
 
 
+def count_of(spans: Column, kind: str) -> Column:
+    rank = KINDS.index(kind)
+    return F.size(F.filter(spans, lambda x: x["rank"] == rank)).cast("long")
+
+
 def rendered(spans: Column, upto: int = len(KINDS)) -> Column:
     """kind:start:end of the spans of the first ``upto`` kinds, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])
