@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyroclast.llm import bpe, exact_dedup, language_id, packing, quality, secrets, vptree
+from pyroclast.llm import bpe, exact_dedup, jaccard_join, language_id, packing, quality, secrets, vptree
 from pyroclast.llm.tables import table
 
 
@@ -69,6 +69,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=2048, end=1)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles are nine tenths alike."""
+    return jaccard_join.link(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,6 +84,7 @@ QUERIES = {
         op7_bpe_round_trip,
         op8_secrets,
         op9_packing,
+        op10_jaccard_join,
     )
 }
 
