@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyroclast.llm import bpe, exact_dedup, jaccard_join, language_id, packing, quality, secrets, vptree
+from pyroclast.llm import bpe, exact_dedup, jaccard_join, language_id, packing, quality, secrets, substring_dedup, suffix_dedup, vptree
 from pyroclast.llm.tables import table
 
 
@@ -51,6 +51,16 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without strings of 200 bytes that occur twice."""
+    return suffix_dedup.summary(table(spark, sf_dir, "documents"), width=200)
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without passages of 35 words that occur twice."""
+    return substring_dedup.summary(table(spark, sf_dir, "documents"), width=35)
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's tokens and what they decode to, as digests."""
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -81,6 +91,8 @@ QUERIES = {
         op2_language_id,
         op3_nearest_vectors,
         op4_quality,
+        op5_suffix_dedup,
+        op6_substring_dedup,
         op7_bpe_round_trip,
         op8_secrets,
         op9_packing,
