@@ -180,3 +180,21 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             )
 
     return rows.mapInArrow(score, "doc_id long, lang_pred string, score double, bits_per_byte double")
+
+
+def keep_known(docs: DataFrame, languages: list[str] | None = None, most_bits: float = 8.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` in a known language, with all their columns; learned from ``lang_col`` of the same rows.
+
+    Rejected are texts without a letter, texts that no model codes in fewer than
+    ``most_bits`` bits a byte (eight are no better than no model) and, where
+    ``languages`` are given, texts in others.  Where nothing can be learned,
+    nothing is rejected.
+    """
+    model = fit(docs, text_col, lang_col)
+    if model is None:
+        return docs
+    wanted = F.col("bits_per_byte") < most_bits
+    if languages is not None:
+        wanted &= F.col("lang_pred").isin(languages)
+    known = predict(docs, model, id_col, text_col).where(wanted & (F.col("lang_pred") != UNDETERMINED)).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(known, docs[id_col].eqNullSafe(known["__id"]), "left_semi").where(F.col(text_col).rlike(r"\p{L}"))

@@ -175,8 +175,8 @@ def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = 0.05) -> di
     return cuts
 
 
-def find(docs: DataFrame, text_col: str = "text", fdr: float = 0.05, min_bits: float = 90.0) -> DataFrame:
-    """``docs`` with ``secret_spans``, an array of (s, rank, e) by start and then kind, rank counting ``KINDS`` from 0."""
+def find(docs: DataFrame, text_col: str = "text", fdr: float = 0.05, min_bits: float = 90.0, into: str = "secret_spans") -> DataFrame:
+    """``docs`` with a column ``into``, an array of (s, rank, e) by start and then kind, rank counting ``KINDS`` from 0."""
     cuts = thresholds(docs, text_col, fdr)
     cut = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]) if cuts else None
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -188,12 +188,12 @@ def find(docs: DataFrame, text_col: str = "text", fdr: float = 0.05, min_bits: f
     base = F.concat(ranked(assign, 0), ranked(matches(text, ACCESS), 1), ranked(matches(text, HEX), 2))
     out = docs.withColumn("__base", base)
     if cut is None:
-        return out.withColumn("secret_spans", F.array_sort("__base")).drop("__base")
+        return out.withColumn(into, F.array_sort("__base")).drop("__base")
     kept = F.filter(
         _candidates(text),
         lambda x: (x["bits"] >= min_bits) & (x["bin"] < F.coalesce(F.try_element_at(cut, x["size"]), F.lit(_BINS + 1))) & ~F.exists("__base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])),
     )
-    return out.withColumn("secret_spans", F.array_sort(F.concat("__base", ranked(kept, 3)))).drop("__base")
+    return out.withColumn(into, F.array_sort(F.concat("__base", ranked(kept, 3)))).drop("__base")
 
 
 def count_of(spans: Column, kind: str) -> Column:
@@ -212,7 +212,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", fdr:
 
     Texts without a span, null ones included, stay as they are.
     """
-    found = find(docs, text_col, fdr=fdr)
+    found = find(docs, text_col, fdr=fdr, into="__spans")
 
     def merge(state: Column, x: Column) -> Column:
         gap = F.when(x["s"] >= state["at"], F.concat(F.substring(F.col(text_col), state["at"] + 1, x["s"] - state["at"]), F.lit(mark))).otherwise("")
@@ -220,5 +220,5 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", fdr:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda s: F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, F.length(text_col)))
-    clean = F.when(F.size("secret_spans") > 0, F.aggregate("secret_spans", start, merge, rest)).otherwise(F.col(text_col))
-    return found.withColumn(text_col, clean).drop("secret_spans")
+    clean = F.when(F.size("__spans") > 0, F.aggregate("__spans", start, merge, rest)).otherwise(F.col(text_col))
+    return found.withColumn(text_col, clean).drop("__spans")

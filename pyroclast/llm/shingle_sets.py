@@ -13,7 +13,7 @@ from pyroclast.llm.arrays import grams, prefix_hash, slice_hash, words
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_SHORT = np.uint64(0x5851F42D4C957F2D)
+_SHORT = 0x5851F42D4C957F2D
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -33,7 +33,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     for k in range(1, width):
         few = np.flatnonzero(count == k)
         if len(few):
-            g = np.zeros(len(few), np.uint64) + _SHORT * np.uint64(k)
+            g = np.full(len(few), _SHORT * k % 2**64, np.uint64)
             for i in range(k):
                 g = grams(np.column_stack([g, h[first[few] + i]]).ravel(), 2)[::2]
             own, of = np.concatenate([own, g]), np.concatenate([of, few])
