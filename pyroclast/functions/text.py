@@ -16,6 +16,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 from pyroclast.functions import numerals
 
@@ -272,7 +273,7 @@ def _numeral(n: int) -> str:
     return re.sub("^一十", "十", text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def numerals_in_query(texts: pd.Series) -> pd.Series:
     """3樓 becomes 三層, and other numbers below 10000 numerals."""
 
@@ -285,7 +286,7 @@ def numerals_in_query(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def display_width(texts: pd.Series) -> pd.Series:
     """Columns that a text takes: box drawing and wide characters two, ambiguous ones past Latin two, others one."""
 
@@ -300,7 +301,7 @@ def client_tag(secret: str):
     """HMAC-SHA256 of a client's address under ``secret``, 12 hex digits."""
     key = secret.encode()
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def tag(clients: pd.Series) -> pd.Series:
         return clients.map(lambda c: None if c is None else hmac.new(key, c.encode(), hashlib.sha256).hexdigest()[:12])
 

@@ -1,6 +1,6 @@
 """All queries of the library but those of the training-data subpackage."""
 
-from pyroclast.plans import relational  # noqa: F401
+from pyroclast.plans import knowledge, relational  # noqa: F401
 from pyroclast.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
