@@ -129,7 +129,7 @@ def yaml_tables(spark: SparkSession, path: str) -> DataFrame:
 
         return texts.map(lambda t: json.dumps(yaml.safe_load(t), default=str, ensure_ascii=False))
 
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.yaml").text(path)
+    files = spark.read.option("pathGlobFilter", "*.yaml").text(path, wholetext=True)
     return files.select(F.from_json(as_json("value"), TABLE).alias("t")).select("t.*")
 
 

@@ -2,8 +2,6 @@ import io
 import json
 import zipfile
 
-from pyspark.sql import functions as F
-
 from pyroclast.sources import readers, sinks
 
 XML = """<Root><Law><LawName>甲法</LawName><LawURL>http://x?pcode=D0120029</LawURL><LawArticles>
@@ -80,4 +78,3 @@ def test_overlay(spark):
     found = json.loads(sinks.overlay(rows).first().geojson)
     assert [f["properties"]["key"] for f in found["features"]] == ["k1", "k2"] and found["features"][1]["geometry"]["coordinates"] == [1.24, 2.0]
     assert sinks.tiles(spark.createDataFrame([("a", 1000, 600)], "image string, width int, height int")).groupBy("level").count().where("level = 10").first()["count"] == 4
-    _ = F

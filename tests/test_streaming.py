@@ -1,7 +1,5 @@
 import datetime
 
-from pyspark.sql import functions as F
-
 from pyroclast.streaming import twins
 
 
@@ -35,4 +33,3 @@ def test_sessions_and_log(spark, tmp_path):
     out = f"{tmp_path}/log"
     twins.upsert_log(stream, out, ["user_id"], "ts").start().awaitTermination()
     assert sorted((r.user_id, r.v) for r in spark.read.parquet(f"{out}/version=0").select("user_id", "v").collect()) == [(1, 3), (2, 4)]
-    _ = F
