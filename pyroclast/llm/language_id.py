@@ -153,11 +153,11 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``lang_pred``, ``score`` (share of the best language among all, equally likely before) and ``bits_per_byte``."""
+    """``doc_id``, ``lang_pred``, ``score`` (share of the best language among all, equally likely before) and ``bits_per_byte`` of ``n_bytes``."""
     letters: Column = F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), letters.alias("letters"))
     if model is None:
-        return rows.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
+        return rows.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,24 +176,25 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                     "lang_pred": pa.array(names[np.where(known, best, len(m.languages))], pa.string()),
                     "score": np.where(known, share, 0.0),
                     "bits_per_byte": pa.array(least / np.maximum(np.diff(offsets), 1), mask=~known),
+                    "n_bytes": np.diff(offsets),
                 }
             )
 
-    return rows.mapInArrow(score, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    return rows.mapInArrow(score, "doc_id long, lang_pred string, score double, bits_per_byte double, n_bytes long")
 
 
-def keep_known(docs: DataFrame, languages: list[str] | None = None, most_bits: float = 8.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_known(docs: DataFrame, languages: list[str] | None = None, excess: float = 64.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` in a known language, with all their columns; learned from ``lang_col`` of the same rows.
 
-    Rejected are texts without a letter, texts that no model codes in fewer than
-    ``most_bits`` bits a byte (eight are no better than no model) and, where
-    ``languages`` are given, texts in others.  Where nothing can be learned,
+    Rejected are texts without a letter, texts that cost ``excess`` bits more under
+    every model than plain bytes of eight bits (so a short text, which proves
+    little, stays) and, where ``languages`` are given, texts in others.  Where nothing can be learned,
     nothing is rejected.
     """
     model = fit(docs, text_col, lang_col)
     if model is None:
         return docs
-    wanted = F.col("bits_per_byte") < most_bits
+    wanted = (F.col("bits_per_byte") - 8) * F.col("n_bytes") < excess
     if languages is not None:
         wanted &= F.col("lang_pred").isin(languages)
     known = predict(docs, model, id_col, text_col).where(wanted & (F.col("lang_pred") != UNDETERMINED)).select(F.col("doc_id").alias("__id")).distinct()
