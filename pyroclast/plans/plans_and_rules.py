@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyroclast.operators import graph, rules, spatial
+from pyroclast.operators import floor_rules, graph, rules, spatial
 from pyroclast.plans.registry import query, table
 
 
@@ -218,3 +218,84 @@ def adjusted_severity(spark: SparkSession, sf: str) -> DataFrame:
     found = o.select("o_orderkey", F.col("o_custkey").alias("building"), F.when(F.col("o_totalprice") > 400000, "SIGN").otherwise("OTHER").alias("rule"), rules.severity_for(raw, F.lit(-1), touched).alias("severity"))
     needed = o.select(F.col("o_custkey").alias("building")).distinct().select("building", F.lit("23-1").alias("key"), F.when(F.col("building") % 3 == 0, "NOT_REQUIRED").otherwise("UNKNOWN").alias("status"))
     return rules.downgrade(found, needed, ["SIGN"], "23-1").select("o_orderkey", "severity")
+
+
+@query("""
+    SELECT p_partkey AS room, 'DET-120' AS rule, CASE WHEN have < need_least THEN 'RED' ELSE 'YELLOW' END AS severity, need_least, need_most FROM (
+        SELECT p_partkey, p_partkey % 6 AS have, ceil(p_size * 10 / CASE p_partkey % 3 WHEN 0 THEN 90 WHEN 1 THEN 50 ELSE 90 END::DOUBLE - 1e-9)::BIGINT AS need_least, ceil(p_size * 10 / CASE p_partkey % 3 WHEN 0 THEN 90 ELSE 50 END::DOUBLE - 1e-9)::BIGINT AS need_most FROM part)
+    WHERE have < need_most
+""")
+def detector_need(spark: SparkSession, sf: str) -> DataFrame:
+    """Detectors of rooms of known and unknown construction."""
+    k = F.col("p_partkey")
+    fireproof = F.when(k % 3 == 0, True).when(k % 3 == 1, False)
+    rooms = table(spark, sf, "part").select(k.alias("room"), (F.col("p_size") * 10.0).alias("area"), F.lit(3.0).alias("height"), fireproof.alias("fireproof"), F.lit("差動式").alias("type"), F.lit("1").alias("class"), (k % 6).alias("have"))
+    return floor_rules.detector_count(rooms)
+
+
+@query("""
+    SELECT p_partkey AS room, 'S18' AS rule, 'RED' AS severity, kind, lim AS "limit" FROM (
+        SELECT p_partkey, p_size * 12.0 AS area, CASE p_partkey % 4 WHEN 0 THEN 'parking' WHEN 1 THEN 'electrical' WHEN 2 THEN 'boiler' END AS kind,
+            CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 500.0 WHEN p_partkey % 3 = 1 THEN 200.0 ELSE 300.0 END WHEN 1 THEN 200.0 WHEN 2 THEN 200.0 END AS lim FROM part)
+    WHERE area >= lim
+""")
+def special_suppression(spark: SparkSession, sf: str) -> DataFrame:
+    """Rooms by name and area; parking by storey."""
+    k = F.col("p_partkey")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("停車場", "電氣室", "廚房", "會議室")]), (k % 4 + 1).cast("int"))
+    level = F.when(k % 3 == 0, 1).when(k % 3 == 1, -1).otherwise(4)
+    return floor_rules.special_suppression(table(spark, sf, "part").select(k.alias("room"), name.alias("name"), (F.col("p_size") * 12.0).alias("area"), level.alias("level")))
+
+
+@query("""
+    WITH d AS (SELECT c_custkey AS door, (c_custkey * 37 % 400)::DOUBLE AS x, (c_custkey * 91 % 400)::DOUBLE AS y, CASE WHEN c_custkey % 3 > 0 THEN (c_custkey % 40)::DOUBLE END AS walk FROM customer),
+    s AS (SELECT (s_suppkey * 53 % 400)::DOUBLE AS x, (s_suppkey * 29 % 400)::DOUBLE AS y FROM supplier)
+    SELECT door, 'EXIT-146-3' AS rule, CASE WHEN walk IS NULL THEN 'YELLOW' ELSE 'RED' END AS severity FROM d
+    WHERE NOT EXISTS (SELECT 1 FROM s WHERE sqrt((s.x - d.x) ** 2 + (s.y - d.y) ** 2) <= 3) AND (walk IS NULL OR walk > 20)
+""")
+def exit_sign_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """Doors without a sign near, unless the way out is short."""
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    doors = table(spark, sf, "customer").select(c.alias("door"), (c * 37 % 400).cast("double").alias("x"), (c * 91 % 400).cast("double").alias("y"), F.when(c % 3 > 0, (c % 40).cast("double")).alias("walk"), F.lit(20.0).alias("exempt_walk"))
+    signs = table(spark, sf, "supplier").select(s.alias("target"), (s * 53 % 400).cast("double").alias("x"), (s * 29 % 400).cast("double").alias("y"))
+    return floor_rules.exit_signs(doors, signs)
+
+
+@query("""
+    SELECT o_orderkey AS zone, 'SMK-188' AS rule, CASE WHEN reason = 'opening unknown' THEN 'YELLOW' ELSE 'RED' END AS severity, reason FROM (
+        SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'no vent' WHEN o_orderkey % 41 > 30 THEN 'too far' WHEN o_totalprice / 800 > 500 THEN 'too large' WHEN o_orderkey % 3 > 0 AND o_orderkey % 11 < o_totalprice / 800 * 0.02::DOUBLE THEN 'too little opening' WHEN o_orderkey % 3 = 0 THEN 'opening unknown' END AS reason FROM orders)
+    WHERE reason IS NOT NULL
+""")
+def smoke_vent_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """Vents by distance, zone and opening."""
+    k = F.col("o_orderkey")
+    zones = table(spark, sf, "orders").select(k.alias("zone"), (F.col("o_totalprice") / 800).alias("area"), (k % 7).alias("vents"), (k % 41).cast("double").alias("farthest"), F.when(k % 3 > 0, (k % 11).cast("double")).alias("opening"))
+    return floor_rules.smoke_vents(zones)
+
+
+@query("""
+    SELECT p_partkey AS file, 'PIPE' AS rule, 'RED' AS severity, 'riser' AS kind, 50::INTEGER AS mm, 65::INTEGER AS least FROM part WHERE p_partkey % 3 = 1
+    UNION ALL SELECT p_partkey, 'PIPE', 'RED', 'branch', 20, 25 FROM part WHERE p_partkey % 3 = 2
+""")
+def pipe_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """Annotated pipes that are too thin."""
+    text = F.element_at(F.array(F.lit("立管 Ø65"), F.lit("主管 DN50"), F.lit('支管 3/4"')), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return floor_rules.pipe_texts(table(spark, sf, "part").select(F.col("p_partkey").alias("file"), text.alias("text")))
+
+
+@query("""
+    SELECT c_custkey AS room, 'EML-24' AS rule, CASE WHEN level = 1 AND w IS NULL THEN 'YELLOW' ELSE 'RED' END AS severity FROM (
+        SELECT c_custkey, c_custkey % 4 AS level, CASE WHEN c_custkey % 5 > 0 THEN (c_custkey % 60)::DOUBLE END AS w, c_mktsegment AS seg FROM customer)
+    WHERE seg <> 'BUILDING' AND NOT (level = 1 AND coalesce(w <= 30, false)) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
+""")
+def emergency_light_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """Rooms without a light that aren't exempt."""
+    k = F.col("c_custkey")
+    rooms = table(spark, sf, "customer").select(k.alias("room"), F.when(F.col("c_mktsegment") == "BUILDING", "toilet").otherwise("room").alias("kind"), (k % 4).alias("level"), F.when(k % 5 > 0, (k % 60).cast("double")).alias("exit_walk"))
+    return floor_rules.emergency_lights(rooms, table(spark, sf, "orders").select(F.col("o_custkey").alias("room")))
+
+
+@query()
+def floor_review(spark: SparkSession, sf: str) -> DataFrame:
+    """All rules of the registry over the floors, numbered."""
+    return floor_rules.review(_floors(spark, sf))
