@@ -37,8 +37,8 @@ from pyroclast.llm.storage import stored
 
 #: Parts that one shard holds on average, and that one core may have there.
 SHARD = 4096
-#: Rows by document are sent to all tasks up to this number, and joined by a shuffle beyond it.
-BROADCAST_ROWS = 400_000
+#: Lists by document are sent to all tasks up to this number of rows and of entries (150 MB at most), and joined by a shuffle beyond it.
+BROADCAST_ROWS, BROADCAST_ENTRIES = 400_000, 2_000_000
 _SEGMENT = 1 << 23
 _U = np.uint64
 
@@ -137,8 +137,9 @@ def parts(sums: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: np.n
     return Parts(span, lo, hi - lo + 1, mix(core + case.astype(_U)), mix(content + away * _U(0x9E3779B97F4A7C15)))
 
 
-def _fits(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+def _fits(rows: DataFrame, lists: str) -> DataFrame:
+    n, entries = rows.agg(F.count("*"), F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()
+    return F.broadcast(rows) if n <= BROADCAST_ROWS and entries <= BROADCAST_ENTRIES else rows
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -200,7 +201,7 @@ def _part_rows(read: Reader, shape: Shape, with_content: bool):
 def _cut(texts: DataFrame, wanted: DataFrame, fields: list[str], read: Reader, shape: Shape, with_content: bool, schema: str) -> DataFrame:
     lists = stored(wanted.groupBy("key").agg(F.collect_list(F.struct(*fields)).alias("spans")), "repeats-wanted")
     # A key that repeats is one text; any of its rows will do.
-    found = texts.join(_fits(lists), "key").mapInArrow(_part_rows(read, shape, with_content), schema)
+    found = texts.join(_fits(lists, "spans"), "key").mapInArrow(_part_rows(read, shape, with_content), schema)
     return found
 
 
@@ -283,13 +284,31 @@ def repeated(texts: DataFrame, read: Reader, solve: Solver, shape: Shape, unit:
     places = rows.select("key", "at", "whole").join(found, "whole")
     start: Column = (F.col("at") + F.col("lo")).cast("long")
     end = (F.col("at") + F.col("hi") + shape.width).cast("long")
-    pieces = places.select("key", F.struct(start.alias("a"), end.alias("b")).alias("x")).groupBy("key").agg(F.collect_set("x").alias("x"))
-    return pieces.select("key", F.col("x.a").alias("starts"), F.col("x.b").alias("ends"))
+    pieces = places.select("key", F.struct(start.alias("a"), end.alias("b")).alias("x")).groupBy("key").agg(F.collect_list("x").alias("x"))
+    return pieces.mapInArrow(_merged, "key long, starts array<long>, ends array<long>")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches that overlap or touch become one."""
+    for batch in batches:
+        row, f = _nested(batch, "x")
+        far = int(f["b"].max(initial=0)) + 1
+        order = np.lexsort((f["a"], row))
+        row, a, b = row[order], f["a"][order], f["b"][order]
+        reach = np.maximum.accumulate(b + row * far)
+        first = np.ones(len(a), bool)
+        first[1:] = a[1:] + row[1:] * far > reach[:-1]
+        first[1:] |= row[1:] != row[:-1]
+        at = np.flatnonzero(first)
+        last = np.append(at[1:], len(a)) - 1
+        edges = pa.array(np.searchsorted(row[at], np.arange(batch.num_rows + 1)).astype(np.int32))
+        ends = reach[last] - row[last] * far
+        yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "starts": pa.ListArray.from_arrays(edges, pa.array(a[at])), "ends": pa.ListArray.from_arrays(edges, pa.array(ends))})
 
 
 def with_repeats(texts: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``texts`` with what :func:`repeated` has for them."""
-    return texts.join(_fits(stored(found, "repeats-pieces")), "key", "left")
+    return texts.join(_fits(stored(found, "repeats-pieces"), "starts"), "key", "left")
 
 
 def marks(batch: pa.RecordBatch, offsets: np.ndarray) -> np.ndarray:
