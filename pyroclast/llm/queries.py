@@ -112,4 +112,37 @@ ORACLES = {
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    # Repeated windows of 200 bytes, as hexadecimal text; windows at most 200 apart make one removed run.
+    "op5_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+        w AS (SELECT doc_id, i, md5(substr(h, 2 * i - 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(1, n - 198)) AS i FROM d WHERE n >= 200)),
+        t AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+        g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM t)),
+        r AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY 1, 2),
+        e AS (SELECT doc_id, a, b FROM r UNION ALL SELECT doc_id, n + 1, n + 1 FROM d),
+        k AS (SELECT doc_id, string_agg(substr(h, 2 * p - 1, 2 * (a - p)), '' ORDER BY a) AS kept FROM (SELECT e.doc_id, h, a, coalesce(lag(b) OVER (PARTITION BY e.doc_id ORDER BY a, b), 1) AS p FROM e JOIN d USING (doc_id)) GROUP BY 1)
+        SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+        FROM d JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM r GROUP BY 1) x USING (doc_id)
+    """,
+    "op6_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        v AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+        t AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM v) WHERE c > 1),
+        g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 35 THEN 0 ELSE 1 END AS new FROM t)),
+        r AS (SELECT doc_id, run, min(i) AS a, max(i) + 35 AS b FROM g GROUP BY 1, 2),
+        e AS (SELECT doc_id, a, b FROM r UNION ALL SELECT doc_id, len(w) + 1, len(w) + 1 FROM d),
+        k AS (SELECT doc_id, array_to_string(flatten(list(w[p:a - 1] ORDER BY a)), ' ') AS kept FROM (SELECT e.doc_id, w, a, coalesce(lag(b) OVER (PARTITION BY e.doc_id ORDER BY a, b), 1) AS p FROM e JOIN d USING (doc_id)) GROUP BY 1)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS removed FROM r GROUP BY 1) x USING (doc_id)
+    """,
+    "op10_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
+            UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) IN (1, 2)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.b) AS component_id FROM d JOIN r ON r.a = d.doc_id LEFT JOIN n USING (doc_id) GROUP BY d.doc_id, n.n
+    """,
 }
