@@ -54,7 +54,7 @@ def ask_log_export(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    SELECT l_orderkey AS file, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS key, CASE WHEN l_linenumber > 1 THEN l_linenumber || 'F' ELSE '' END AS place, l_returnflag || '；' || l_linestatus AS laws, CASE WHEN l_discount > 0.07 THEN 'rejected' END AS decision FROM lineitem
+    SELECT l_orderkey AS file, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS key, CASE WHEN l_linenumber > 1 THEN l_linenumber || 'F' ELSE '' END AS place, l_returnflag || '；' || l_linestatus AS laws, CASE WHEN bool_or(l_discount > 0.07) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey) THEN 'rejected' END AS decision FROM lineitem
 """)
 def report_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Findings with decisions, one row each."""
