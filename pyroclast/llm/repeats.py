@@ -252,20 +252,21 @@ def _window_rows(shape: Shape, unit: np.dtype):
 def repeated(texts: DataFrame, read: Reader, solve: Solver, shape: Shape, unit: np.dtype, shard: int = SHARD) -> DataFrame:
     """For each key of ``texts`` (:func:`keyed`) with repeats: arrays ``starts`` and ``ends`` of stretches of units to remove."""
     rows = stored(texts.mapInArrow(_span_rows(read, shape), "key long, at int, windows int, anchor int, gram long, whole long"), "repeats-spans")
-    often = rows.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram")
+    # Counts are written before they are joined: two plain exchanges are what adaptive execution can split at a hot key.
+    often = stored(rows.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram"), "repeats-grams")
     rows = stored(rows.join(often, "gram"), "repeats-candidates")
 
     one = F.min(F.struct("key", "at", "windows", "anchor")).alias("one")
     wholes = stored(rows.groupBy("gram", "whole").agg(F.count("*").alias("times"), one), "repeats-wholes")
     full = wholes.where("times > 1").select("whole", F.lit(0).alias("lo"), (F.col("one.windows") - 1).alias("hi"))
-    contested = wholes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
+    contested = stored(wholes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram"), "repeats-contested-grams")
     wanted = wholes.join(contested, "gram").select("one.*", "whole")
 
     schema = "key long, at int, whole long, lo int, windows int, core long, content long"
     cut = stored(_cut(texts, wanted, ["at", "windows", "anchor", "whole"], read, shape, False, schema).dropDuplicates(["whole", "lo"]), "repeats-parts")
     first = F.min(F.struct("whole", "lo", "key", "at", "windows")).alias("one")
     contents = stored(cut.groupBy("core", "content").agg(F.count("*").alias("times"), first), "repeats-contents")
-    cores = contents.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    cores = stored(contents.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1"), "repeats-cores")
     copies = contents.where("times > 1").select("core", "content")
     same = cut.join(copies, ["core", "content"], "left_semi").select("whole", "lo", (F.col("lo") + F.col("windows") - 1).alias("hi"))
 
