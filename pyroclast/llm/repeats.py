@@ -40,6 +40,8 @@ SHARD = 4096
 #: Lists by document are sent to all tasks up to this number of rows and of entries (150 MB at most), and joined by a shuffle beyond it.
 BROADCAST_ROWS, BROADCAST_ENTRIES = 400_000, 2_000_000
 _SEGMENT = 1 << 23
+#: Bytes of text that a task hashes at a time; each takes about 120 bytes while it does.
+_CHUNK = 1 << 20
 _U = np.uint64
 
 
@@ -158,7 +160,7 @@ def _nested(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, dict[str, n
 
 def _span_rows(read: Reader, shape: Shape):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", _CHUNK):
             units = read(batch.column("text"))
             s = spans(units, shape, prefix_hash(units.values))
             yield pa.RecordBatch.from_pydict(
@@ -172,7 +174,7 @@ def _part_rows(read: Reader, shape: Shape, with_content: bool):
     """Parts of the spans listed in ``spans``; with their contents, those that ``spans`` names (lo, core)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", _CHUNK):
             units = read(batch.column("text"))
             row, f = _nested(batch, "spans")
             if with_content:
