@@ -39,6 +39,7 @@ read, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from math import comb
@@ -61,7 +62,8 @@ BLOCK = 1024
 BROADCAST_NODES = 2_000_000
 
 _U = np.uint64
-_SETS = "doc_id long, n long, hi long, lo long, keys array<long>, sketch binary"
+_SETS = "doc_id long, n long, hi long, lo long, sketch binary"
+_ENTRIES = "hi long, lo long, key long"
 
 
 class Plan:
@@ -73,12 +75,22 @@ class Plan:
         while self.bounds[-1] < 1 << 40:
             self.bounds.append(max(self.bounds[-1] + 1, -(-self.bounds[-1] * 100 // percent)))
         self.edges = np.array(self.bounds, np.int64)
-        self.ranges = np.array([self.differences(j) + 2 + self.differences(j) // 64 for j in range(len(self.bounds) - 2)], np.int64)
+        self.ranges = np.array([self._ranges(j) for j in range(len(self.bounds) - 2)], np.int64)
         self.boundary = 1
         while self.subsets(self.boundary + 1) <= scan * self.lists(self.boundary + 1):
             self.boundary += 1
         self.overlap = self.boundary * 100 // percent  # sizes up to here enumerate too, to meet small sets
 
+    def _ranges(self, j: int) -> int:
+        """One more than there can be differences, and room for the ranges that stay empty by chance in the smallest sets."""
+        least = ranges = self.differences(j) + 2
+        for _ in range(20):
+            filled = 1 - 1.4 * math.exp(-self.bounds[j] / ranges)
+            if filled < 0.5:  # thresholds this low fill too few ranges; such sets meet on their common list
+                return least
+            ranges = math.ceil(least / filled)
+        return ranges + ranges // 64
+
     def lost(self, n: int) -> int:
         """The most shingles of n that a linked set can lack."""
         return n * (100 - self.percent) // 100
@@ -206,48 +218,57 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def set_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each document the size and 128-bit digest of its set, and for each set that a task meets first its keys and sketch."""
+def _new_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each batch with the sizes and 128-bit digests of its sets, and the shingles of those that the task meets first (with their rows)."""
+    seen: set[tuple[int, int]] = set()
+    for batch in slices(batches, "text"):
+        tokens, at = shingles(*flat(batch.column("text")), width)
+        n = np.diff(at)
+        with np.errstate(over="ignore"):
+            sums, other = _sums(tokens), np.zeros(len(tokens) + 1, _U)
+            np.cumsum(mix(tokens ^ _U(0x1D8E4E27C47D124F)), out=other[1:])
+            hi = mix(sums[at[1:]] - sums[at[:-1]] + n.astype(_U)).view(np.int64)
+            lo = (other[at[1:]] - other[at[:-1]]).view(np.int64)
+        own = []
+        for i, pair in enumerate(zip(hi.tolist(), lo.tolist(), strict=True)):
+            if pair not in seen and n[i]:
+                seen.add(pair)
+                own.append(i)
+        if len(seen) > 1_000_000:
+            seen.clear()
+        own = np.array(own, np.int64)
+        yield batch, hi, lo, n, own, tokens[ragged(at[own], n[own])]
+
+
+def set_rows(texts: DataFrame, width: int) -> DataFrame:
+    """For each document the size and digest of its set, and for each set that a task meets first its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, seen = plan_of(percent), set()
-        for batch in slices(batches, "text"):
-            tokens, at = shingles(*flat(batch.column("text")), width)
-            n = np.diff(at)
-            with np.errstate(over="ignore"):
-                sums, other = _sums(tokens), np.zeros(len(tokens) + 1, _U)
-                np.cumsum(mix(tokens ^ _U(0x1D8E4E27C47D124F)), out=other[1:])
-                hi = mix(sums[at[1:]] - sums[at[:-1]] + n.astype(_U)).view(np.int64)
-                lo = (other[at[1:]] - other[at[:-1]]).view(np.int64)
-            new = np.zeros(len(n), bool)
-            for i, pair in enumerate(zip(hi.tolist(), lo.tolist(), strict=True)):
-                if pair not in seen and n[i]:
-                    seen.add(pair)
-                    new[i] = True
-            if len(seen) > 1_000_000:
-                seen.clear()
-            own = np.flatnonzero(new)
-            mine = tokens[ragged(at[own], n[own])]
-            own_at = np.concatenate([[0], np.cumsum(n[own])])
-            of, keys = (np.concatenate(x) for x in zip(_subset_keys(plan, mine, own_at), _list_keys(plan, mine, own_at), strict=True))
-            of = own[of]
-            order = np.argsort(of, kind="stable")
-            ends = np.searchsorted(of[order], np.arange(len(n) + 1)).astype(np.int32)
-            bits, length = _sketches(mine, own_at)
+        for batch, hi, lo, n, own, mine in _new_sets(batches, width):
+            bits, length = _sketches(mine, np.concatenate([[0], np.cumsum(n[own])]))
             every = np.zeros(len(n), np.int64)
             every[own] = length
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "n": n,
-                    "hi": hi,
-                    "lo": lo,
-                    "keys": pa.ListArray.from_arrays(pa.array(ends), as_long(keys[order])),
-                    "sketch": to_binary(bits, every),
-                }
-            )
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": n, "hi": hi, "lo": lo, "sketch": to_binary(bits, every)})
+
+    return texts.mapInArrow(run, _SETS)
+
+
+def list_entries(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """A row per set (the first in each task) and subset or list that it is on.
+
+    There may be as many rows as half the shingles, so they go to the shuffle as
+    they are made instead of into a table.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = plan_of(percent)
+        for _, hi, lo, n, own, mine in _new_sets(batches, width):
+            at = np.concatenate([[0], np.cumsum(n[own])])
+            of, keys = (np.concatenate(x) for x in zip(_subset_keys(plan, mine, at), _list_keys(plan, mine, at), strict=True))
+            row = own[of]
+            yield pa.RecordBatch.from_pydict({"hi": hi[row], "lo": lo[row], "key": as_long(keys)})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _SETS)
+    return texts.mapInArrow(run, _ENTRIES)
 
 
 def _passing(percent: int):
@@ -338,7 +359,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id``, the least id reachable by links."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stored(set_rows(texts, width, percent), "jaccard-sets")
+    rows = stored(set_rows(texts, width), "jaccard-sets")
 
     # 128-bit digests tell sets apart; should two share the first half, the second one joins in for those.
     heads = stored(rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("sketch").alias("sketch")), "jaccard-heads")
@@ -348,7 +369,7 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: st
     else:
         other = clash.withColumn("clash", F.lit(True))
         named = lambda df: df.join(other, "hi", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("hi", "lo")).otherwise(F.col("hi")))
-    entries = named(rows.where(F.size("keys") > 0)).select("node", F.explode("keys").alias("key"))
+    entries = named(list_entries(texts, width, percent)).select("node", "key")
     nodes = named(heads).select("node", "doc_id", "n", "sketch")
 
     # Lists with the same nodes are one: a list is named by the sum of its nodes' hashes, their number and the least.
