@@ -23,6 +23,32 @@ def test_ppm_probabilities_sum_to_one(spark):
     assert np.allclose((p * many[None, :, None]).sum(1), 1, atol=1e-4)
 
 
+def test_every_context_is_kept(spark):
+    """A language with little text keeps its contexts beside one with more contexts than any fixed budget."""
+    rng = np.random.default_rng(2)
+    many = ["".join(map(chr, rng.integers(97, 123, 4000))) for _ in range(10)] * 2
+    rare = "ÞORPIÐ ER VIÐ ÁNA OG BÆRINN"
+    m = language_id.fit(spark.createDataFrame([(t, "x") for t in many] + [(rare, "y")], "text string, lang string"))
+    want = set()
+    for lang, texts in (("x", many), ("y", [rare])):
+        for t in texts:
+            data = b"\n\n\n" + t.encode()
+            want |= {(lang, k, int.from_bytes(data[i - k : i], "big")) for i in range(3, len(data)) for k in range(4)}
+    assert len(want) > 16384
+    assert {(r.lang, r.k, r.key) for r in m.table.where("escape").collect()} == want
+
+
+def test_shards_score_as_one(spark, odd, monkeypatch):
+    docs = spark.createDataFrame([("abracadabra", "x"), ("abrakadabra bra", "x"), ("zzzy abra", "y"), ("éàü 日本語", "y")], "text string, lang string")
+    one = language_id.fit(docs)
+    monkeypatch.setattr(language_id, "SHARD", 20)
+    more = language_id.fit(docs)
+    assert len(one.ranges) == 1 and len(more.ranges) > 3
+    got, want = ([(r.doc_id, r.lang_pred, r.score, r.bits_per_byte or 0, r.n_bytes) for r in language_id.predict(odd, m).orderBy("doc_id").collect()] for m in (more, one))
+    assert [(a[0], a[1], a[4]) for a in got] == [(a[0], a[1], a[4]) for a in want]
+    assert np.allclose([a[2:4] for a in got], [a[2:4] for a in want])
+
+
 def test_language_odd_rows(odd, empty, spark):
     m = language_id.fit(odd)
     got = {r.doc_id: r for r in language_id.predict(odd, m).collect()}
