@@ -14,7 +14,12 @@ against each other, by classes of length (powers of two): within a class the
 Benjamini-Hochberg procedure at level ``fdr`` rejects randomness, so that long
 classes, where natural text is far out, and short ones, where it is not, each
 have their own threshold.  What isn't rejected and carries at least
-``min_bits`` bits is reported as ``random``, unless it overlaps a base span.
+``min_bits`` bits is reported as ``random``.  A run of these characters may
+join a secret to a name or a path, so beside the whole run its pieces between
+``=`` (other than padding at the end), between ``=`` and ``/``, and between all
+signs but ``+`` are tested, where they have 20 characters and more, and a piece
+is reported unless it lies in a longer string that is.  Base spans are blanked
+first, so what they leave of a run is tested like any other.
 P-values are counted in bins of a quarter of a bit, so the thresholds come from
 one aggregation of at most 17 x 201 counts.
 
@@ -38,6 +43,8 @@ ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)(?-i)["']?\x20*[:=]\x20*
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Pieces of a candidate, from long to short.
+PIECES = ["[^=]{20,}(?:=+$)?", "[^=/]{20,}(?:=+$)?", "[A-Za-z0-9+]{20,}(?:=+$)?"]
 KINDS = ["assign", "access", "hex", "random"]
 
 _SPANS = "array<struct<s:int,e:int,t:string>>"
@@ -141,9 +148,43 @@ def battery(t: Column) -> Column:
     return F.element_at(F.transform(named, lambda x: measured(x["b"], x["a"], F.length(x["a"]).cast("double"))), 1)
 
 
+def _base(text: Column) -> Column:
+    """The spans (s, rank, e) of the fixed patterns."""
+    assign = F.filter(matches(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["t"], ASSIGN, 2)) >= 6)
+    return F.concat(_ranked(assign, 0), _ranked(matches(text, ACCESS), 1), _ranked(matches(text, HEX), 2))
+
+
+def _ranked(spans: Column, rank: int) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(rank).alias("rank"), x["e"].alias("e")))
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with blanks in place of the spans' characters."""
+
+    def blank(state: Column, x: Column) -> Column:
+        gap = F.substring(text, state["at"] + 1, x["s"] - state["at"])
+        start, end = F.greatest(state["at"], x["s"]), F.greatest(state["at"], x["e"])
+        return F.struct(end.alias("at"), F.concat(state["out"], F.when(x["s"] > state["at"], gap).otherwise(""), F.repeat(F.lit(" "), end - start)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), start, blank, rest)).otherwise(text)
+
+
+def _with_pieces(x: Column) -> Column:
+    """A match and its pieces, each once."""
+
+    def moved(pattern: str) -> Column:
+        return F.transform(matches(x["t"], pattern), lambda y: F.struct((x["s"] + y["s"]).alias("s"), (x["s"] + y["e"]).alias("e"), y["t"].alias("t")))
+
+    pieces = F.array_distinct(F.concat(F.array(x), *[moved(p) for p in PIECES]))
+    return F.when(x["t"].rlike("[/_-]|=[^=]"), pieces).otherwise(F.array(x))
+
+
 def _candidates(text: Column) -> Column:
     """Candidate spans with the length class and p-value bin of each."""
-    some = F.filter(matches(text, CANDIDATE), lambda x: x["t"].rlike("[A-Za-z]") & x["t"].rlike("[0-9]") & (F.length(F.regexp_replace(x["t"], "=+$", "")) >= 20))
+    every = F.flatten(F.transform(matches(text, CANDIDATE), _with_pieces))
+    some = F.filter(every, lambda x: x["t"].rlike("[A-Za-z]") & x["t"].rlike("[0-9]") & (F.length(F.regexp_replace(x["t"], "=+$", "")) >= 20))
 
     def classed(x: Column) -> Column:
         def told(m: Column) -> Column:
@@ -161,13 +202,15 @@ def _candidates(text: Column) -> Column:
 
 
 def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = 0.05) -> dict[int, int]:
-    """For each class of length, the least bin where randomness is rejected (at most 17 numbers)."""
-    found = docs.select(F.explode(_candidates(F.coalesce(F.col(text_col), F.lit("")))).alias("c"))
+    """For each class of length that has candidates, the least bin where randomness is rejected (at most 17 numbers)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = docs.select(F.explode(_candidates(_blanked(text, _base(text)))).alias("c"))
     counts = found.groupBy("c.size", "c.bin").count().collect()  # at most 17 x 201 rows
     cuts = {}
     for size in {r["size"] for r in counts}:
         own = {r["bin"]: r["count"] for r in counts if r["size"] == size}
         m, beyond = sum(own.values()), 0
+        cuts[size] = _BINS + 1
         for b in range(_BINS, -1, -1):
             beyond += own.get(b, 0)
             if beyond and 2 ** (-b / 4) * m / beyond <= fdr:
@@ -181,19 +224,13 @@ def find(docs: DataFrame, text_col: str = "text", fdr: float = 0.05, min_bits: f
     cut = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]) if cuts else None
     text = F.coalesce(F.col(text_col), F.lit(""))
 
-    def ranked(spans: Column, rank: int) -> Column:
-        return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(rank).alias("rank"), x["e"].alias("e")))
-
-    assign = F.filter(matches(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["t"], ASSIGN, 2)) >= 6)
-    base = F.concat(ranked(assign, 0), ranked(matches(text, ACCESS), 1), ranked(matches(text, HEX), 2))
-    out = docs.withColumn("__base", base)
+    out = docs.withColumn("__base", _base(text))
     if cut is None:
         return out.withColumn(into, F.array_sort("__base")).drop("__base")
-    kept = F.filter(
-        _candidates(text),
-        lambda x: (x["bits"] >= min_bits) & (x["bin"] < F.coalesce(F.try_element_at(cut, x["size"]), F.lit(_BINS + 1))) & ~F.exists("__base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])),
-    )
-    return out.withColumn(into, F.array_sort(F.concat("__base", ranked(kept, 3)))).drop("__base")
+    out = out.withColumn("__rest", _candidates(_blanked(text, F.col("__base"))))
+    out = out.withColumn("__rest", F.filter("__rest", lambda x: (x["bits"] >= min_bits) & (x["bin"] < F.coalesce(F.try_element_at(cut, x["size"]), F.lit(_BINS + 1)))))
+    whole = F.filter("__rest", lambda x: ~F.exists("__rest", lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]) & (y["e"] - y["s"] > x["e"] - x["s"])))
+    return out.withColumn(into, F.array_sort(F.concat("__base", _ranked(whole, 3)))).drop("__base", "__rest")
 
 
 def count_of(spans: Column, kind: str) -> Column:
