@@ -33,7 +33,8 @@ Edge cases: null and empty texts, or texts of white space, have no shingle,
 link with nothing and are their own component; fewer words than a shingle make
 one shingle; copies are one node, whatever their number; rows that repeat an id
 are one row each, and components go by the least id; null ids take part and are
-never the least; an empty table gives an empty result; other columns are not
+never the least; between steps a row goes by a hash of its id and text, and sets
+go by their digests, never by ids; an empty table gives an empty result; other columns are not
 read, whatever their names.
 """
 
@@ -46,7 +47,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pyroclast.llm.arrays import as_long, flat, mix, ragged, slices, to_binary
@@ -62,7 +63,7 @@ BLOCK = 1024
 BROADCAST_NODES = 2_000_000
 
 _U = np.uint64
-_SETS = "doc_id long, n long, hi long, lo long, sketch binary"
+_SETS = "doc_id long, row long, n long, hi long, lo long, sketch binary"
 _ENTRIES = "hi long, lo long, key long"
 
 
@@ -224,11 +225,7 @@ def _new_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[p
     for batch in slices(batches, "text"):
         tokens, at = shingles(*flat(batch.column("text")), width)
         n = np.diff(at)
-        with np.errstate(over="ignore"):
-            sums, other = _sums(tokens), np.zeros(len(tokens) + 1, _U)
-            np.cumsum(mix(tokens ^ _U(0x1D8E4E27C47D124F)), out=other[1:])
-            hi = mix(sums[at[1:]] - sums[at[:-1]] + n.astype(_U)).view(np.int64)
-            lo = (other[at[1:]] - other[at[:-1]]).view(np.int64)
+        hi, lo = _digests(tokens, at)
         own = []
         for i, pair in enumerate(zip(hi.tolist(), lo.tolist(), strict=True)):
             if pair not in seen and n[i]:
@@ -248,7 +245,7 @@ def set_rows(texts: DataFrame, width: int) -> DataFrame:
             bits, length = _sketches(mine, np.concatenate([[0], np.cumsum(n[own])]))
             every = np.zeros(len(n), np.int64)
             every[own] = length
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": n, "hi": hi, "lo": lo, "sketch": to_binary(bits, every)})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "n": n, "hi": hi, "lo": lo, "sketch": to_binary(bits, every)})
 
     return texts.mapInArrow(run, _SETS)
 
@@ -344,25 +341,60 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """The sets of ``nodes`` (node, doc_id), from the texts."""
+def _digests(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set."""
+    with np.errstate(over="ignore"):
+        sums, other = _sums(tokens), np.zeros(len(tokens) + 1, _U)
+        np.cumsum(mix(tokens ^ _U(0x1D8E4E27C47D124F)), out=other[1:])
+        hi = mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(_U)).view(np.int64)
+        lo = (other[at[1:]] - other[at[:-1]]).view(np.int64)
+    return hi, lo
+
+
+def _sets_of(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """The sets of ``nodes`` (node, row, hi, lo), from the texts of their rows; of each node the set with its digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in slices(batches, "text"):
             tokens, at = shingles(*flat(batch.column("text")), width)
-            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "set": to_binary(tokens.view(np.uint8), 8 * np.diff(at))})
+            hi, lo = _digests(tokens, at)
+            node = batch.column("node").to_numpy()
+            own = []
+            for i in np.flatnonzero((hi == batch.column("hi").to_numpy()) & (lo == batch.column("lo").to_numpy())).tolist():
+                if int(node[i]) not in seen:
+                    seen.add(int(node[i]))
+                    own.append(i)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            own = np.array(own, np.int64)
+            n = np.diff(at)[own]
+            yield pa.RecordBatch.from_pydict({"node": node[own], "set": to_binary(tokens[ragged(at[own], n)].view(np.uint8), 8 * n)})
 
     few = nodes.count() <= BROADCAST_NODES
-    return docs.join(F.broadcast(nodes) if few else nodes, "doc_id").select("node", "text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
+    return texts.join(F.broadcast(nodes) if few else nodes, "row").select("node", "hi", "lo", "text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
+
+
+def _row(id_: Column, text: Column) -> Column:
+    """What a row goes by: two with different ids or texts have the same with a chance of 2^-64."""
+    return F.xxhash64(id_.cast("long"), text)
 
 
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id``, the least id reachable by links."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows, of_node = _linked(docs, width, percent, id_col, text_col)
+    found = rows.where("n > 0").join(of_node, "node").select("doc_id", F.col("n").alias("n_shingles"), F.col("head.doc_id").alias("component_id"))
+    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return found.unionByName(alone)
+
+
+def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, row, n, node), and for each node the first row of its component (node, head), by id and then row, null ids last."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", _row(F.col("doc_id"), F.col("text")))
     rows = stored(set_rows(texts, width), "jaccard-sets")
 
     # 128-bit digests tell sets apart; should two share the first half, the second one joins in for those.
-    heads = stored(rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("sketch").alias("sketch")), "jaccard-heads")
+    heads = stored(rows.where("n > 0").groupBy("hi", "lo").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("head"), F.first("n").alias("n"), F.max("sketch").alias("sketch")), "jaccard-heads")
     clash = heads.groupBy("hi").count().where("count > 1").select("hi")
     if clash.isEmpty():
         named = lambda df: df.withColumnRenamed("hi", "node")
@@ -370,7 +402,7 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: st
         other = clash.withColumn("clash", F.lit(True))
         named = lambda df: df.join(other, "hi", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("hi", "lo")).otherwise(F.col("hi")))
     entries = named(list_entries(texts, width, percent)).select("node", "key")
-    nodes = named(heads).select("node", "doc_id", "n", "sketch")
+    nodes = named(heads.withColumn("high", F.col("hi"))).select("node", "high", "lo", "head", "n", "sketch")
 
     # Lists with the same nodes are one: a list is named by the sum of its nodes' hashes, their number and the least.
     own = Window.partitionBy("key")
@@ -380,7 +412,7 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: st
 
     involved = stored(lists.select("node").distinct().join(nodes, "node"), "jaccard-nodes")
     small = involved.select("node", "n", "sketch")
-    sets = stored(_sets_of(texts, involved.select("node", "doc_id").where("doc_id IS NOT NULL"), width), "jaccard-texts")
+    sets = stored(_sets_of(texts, involved.select("node", F.col("head.row").alias("row"), F.col("high").alias("hi"), "lo"), width), "jaccard-texts")
 
     stars = lists.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(small.select(F.col("node").alias("a"), "n", F.col("sketch").alias("s")), "a").join(small.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("t")), "b")
@@ -399,16 +431,26 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: st
     more = stored(_verify(found, sets, percent), "jaccard-links")
     roots = components(links.union(more))
 
-    # The least id of each component, by node first: copies of a text meet in one small row.
-    least = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    of_root = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = least.select("node", "root").join(of_root, "root").select("node", "component_id")
-    found = named(rows.where("n > 0")).select("doc_id", "n", "node").join(of_node, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return found.unionByName(alone)
+    # The first row of each component, by node first: copies of a text meet in one small row.
+    first = nodes.select("node", "head").join(roots, "node", "left").select("node", "head", F.coalesce("root", "node").alias("root"))
+    of_root = first.groupBy("root").agg(F.min("head").alias("head"))
+    of_node = first.select("node", "root").join(of_root, "root").select("node", "head")
+    return named(rows).select("doc_id", "row", "n", "node"), of_node
 
 
 def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which none with a smaller id is in the same component."""
-    stay = link(docs, width, percent, id_col, text_col).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__id"]), "left_semi")
+    """One row of ``docs`` for each component, that with the least id; rows without a shingle all stay.
+
+    Among rows of the least id (or of none, where all ids are null) with
+    different texts the choice goes by a hash of the text; of rows that repeat id
+    and text any one stays.
+    """
+    rows, of_node = _linked(docs, width, percent, id_col, text_col)
+    stay = stored(of_node.select(F.col("head.row").alias("__row")).distinct(), "jaccard-stay")
+    alone = rows.where("n = 0").select(F.col("row").alias("__row")).distinct()
+    often = stored(rows.where("n > 0").select(F.col("row").alias("__row")).join(stay, "__row").groupBy("__row").count().where("count > 1").select("__row"), "jaccard-often")
+    keyed = docs.withColumn("__row", _row(F.col(id_col), F.col(text_col)))
+    if often.isEmpty():
+        return keyed.join(stay.union(alone), "__row", "left_semi").select(docs.columns)
+    kept = keyed.join(stay.join(often, "__row", "left_anti").union(alone), "__row", "left_semi")
+    return kept.union(keyed.join(often, "__row", "left_semi").dropDuplicates(["__row"])).select(docs.columns)

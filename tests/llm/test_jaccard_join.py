@@ -130,6 +130,29 @@ def test_odd_rows(odd, empty, spark):
     assert sorted((r.n_shingles, r.component_id) for r in jaccard_join.link(nulls).collect() if r.n_shingles) == [(2, 5), (2, 5)]
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    base = [[f"{x}{k}" for k in range(60)] for x in "abcd"]
+
+    def text(group, *at):
+        return " ".join("other" + str(k) if k in at else w for k, w in enumerate(base[group]))
+
+    rows = [
+        (None, text(0)), (None, text(0, 1)), (None, text(0, 2)),  # no id at all
+        (7, text(1)), (None, text(1, 1, 2, 3)), (8, text(1, 1, 2, 3, 4, 5)),  # 7 and 8 link through a null id
+        (3, text(2)), (3, text(3)), (4, text(2, 9)), (2, text(3, 9)), (3, text(3, 8)), (3, text(2, 30)),  # one id, two groups
+        (None, None), (None, ""),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = lambda x: str(x)
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard_join.link(df, 1, 90).collect()), key=order)
+    want = [(None, None)] * 3 + [(7, 7), (None, 7), (8, 7)] + [(3, 3), (3, 2), (4, 3), (2, 2), (3, 2), (3, 3)] + [(None, None)] * 2
+    assert got == sorted(want, key=order)
+    kept = jaccard_join.representatives(df, 1, 90).collect()
+    assert sorted((str(r.doc_id), (r.text or "-")[0]) for r in kept) == [("2", "d"), ("3", "c"), ("7", "b"), ("None", "-"), ("None", "-"), ("None", "a")]
+    twice = spark.createDataFrame([*rows[:3], *rows[:3]], "doc_id long, text string")
+    assert jaccard_join.representatives(twice, 1, 90).count() == 1
+
+
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     assert sorted(map(tuple, op10_jaccard_join(spark, FOLDER).collect())) == brute(rows, 3, 90)
