@@ -48,7 +48,7 @@ def horizontal_distance(floors: DataFrame, rule: str, radius: float) -> DataFram
 
 
 def sprinkler_distance(floors: DataFrame, lenient: float = 2.6, strict: float = 2.1) -> DataFrame:
-    """Coverage by the largest and the smallest radius that the unknown response and construction allow, and how many heads to add."""
+    """Coverage by the largest and the smallest radius that the unknown response and construction allow, and how many heads to add."""
     equipped = floors.where(F.size("devices") > 0)
     wide = spatial.uncovered(equipped, lenient).select("floor", F.col("uncovered").alias("lenient"))
     narrow = spatial.uncovered(equipped, strict).select("floor", F.col("uncovered").alias("strict"))
@@ -187,7 +187,7 @@ REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def review(floors: DataFrame, asked: list[str] | None = None, extra: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """Findings of all rules, numbered by severity within each floor."""
+    """Findings of all rules, numbered by severity within each floor."""
     from pyspark.sql import Window
 
     known = REGISTRY | (extra or {})

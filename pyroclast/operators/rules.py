@@ -66,14 +66,15 @@ def profile(buildings: DataFrame, floors: DataFrame) -> DataFrame:
     """One row a building with the sums that requirement clauses read.
 
     ``buildings``: building, occupancy, stories, height, site_area, roof_area.
-    ``floors``: building, label, level, area, no_opening; the first sheet of a label counts.
+    ``floors``: building, label, level, area, no_opening and, where known, ceiling (metres); the first sheet of a label counts.
     """
     w = Window.partitionBy("building", "label").orderBy(F.desc("area"))
     once = floors.withColumn("__n", F.row_number().over(w)).where("__n = 1")
     special = (F.col("level") < 0) | F.col("no_opening")
+    tall = F.coalesce(F.col("ceiling") > 10, F.lit(False)) if "ceiling" in floors.columns else F.lit(False)
     biggest = lambda c: F.coalesce(F.max(F.when(c, F.col("area"))), F.lit(0.0))
     sums = once.groupBy("building").agg(
-        F.sum("area").alias("floor_area"), F.max("area").alias("max_floor"), biggest(F.col("level") > 0).alias("max_above"), F.coalesce(F.sum(F.when(F.col("level") > 0, F.col("area"))), F.lit(0.0)).alias("above_area"),
+        F.sum("area").alias("floor_area"), F.max("area").alias("max_floor"), biggest(F.col("level") > 0).alias("max_above"), biggest((F.col("level") > 0) & tall).alias("max_tall"), biggest((F.col("level") > 0) & ~tall).alias("max_not_tall"), F.coalesce(F.sum(F.when(F.col("level") > 0, F.col("area"))), F.lit(0.0)).alias("above_area"),
         biggest(special).alias("max_special"), biggest(F.col("no_opening")).alias("max_closed"), F.coalesce(F.sum(F.when(F.col("level") < 0, F.col("area"))), F.lit(0.0)).alias("basement_area"), F.count_if(F.col("level") < 0).alias("basements"),
         F.coalesce(F.sum(F.when(F.col("level").isin(1, 2), F.col("area"))), F.lit(0.0)).alias("lower_area"), biggest(F.col("level") >= 11).alias("max_high"), F.count_if(special | (F.col("level") >= 11)).alias("special_floors"),
     )
@@ -129,10 +130,11 @@ def requirement_clauses() -> dict[str, tuple[dict[str, Column], Column]]:
                 "17/1/2": c("max_high") >= 100,
                 "17/1/3": _is("甲") & (c("max_special") >= 1000),
                 "17/1/4": (st >= 11) & _is("甲", "戊-1"),
+                "17/1/6": _is("乙-11") & (c("max_tall") >= 700),
                 "17/1/7": under,
                 "17/1/8": c("high_rise"),
             },
-            no_class | c("high_rise").isNull() | mixed | no_stories,
+            no_class | c("high_rise").isNull() | mixed | no_stories | (_is("乙-11") & (c("max_not_tall") >= 700)),
         ),
         "19": (alarm, no_class | mixed | no_stories),
         "20": ({"20/1/1": (st >= 3) & (c("max_floor") >= 200), "20/1/2": _is("甲-3")}, no_stories | no_class),

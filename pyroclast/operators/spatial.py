@@ -260,7 +260,7 @@ def uncovered(floors: DataFrame, radius: float) -> DataFrame:
 
 
 def walk_distances(floors: DataFrame, limit: float, band: float = 1.04) -> DataFrame:
-    """Per floor the farthest reachable cell, the area beyond ``limit`` with and without the grid's error, and the unreachable area."""
+    """Per floor the farthest reachable cell, the area beyond ``limit`` with and without the grid's error, and the unreachable area."""
 
     def measure(floor, free, devices):
         d = walk(free, devices)

@@ -80,7 +80,7 @@ def sheet_alignment(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def recognise_equipment(spark: SparkSession, sf: str) -> DataFrame:
-    """Symbols without those that repeat an earlier one of the same name within 5 cm."""
+    """Symbols without those that repeat an earlier one of the same name within 5 cm."""
     l = table(spark, sf, "lineitem").where("l_linenumber <> 7")
     rows = l.select(F.col("l_suppkey").alias("sheet"), F.col("l_returnflag").alias("name"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), (F.col("l_quantity") * 0.02).alias("x"), (F.col("l_discount") * 3).alias("y"))
     return spatial.first_wins(rows, ["sheet", "name"], 0.05)
@@ -131,7 +131,7 @@ def room_analysis(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def walk_distance(spark: SparkSession, sf: str) -> DataFrame:
-    """Walking distances to the nearest device; beyond the limit, in the grid's error band, unreachable."""
+    """Walking distances to the nearest device; beyond the limit, in the grid's error band, unreachable."""
     return spatial.walk_distances(_floors(spark, sf), 4.0)
 
 
@@ -297,5 +297,5 @@ def emergency_light_rule(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def floor_review(spark: SparkSession, sf: str) -> DataFrame:
-    """All rules of the registry over the floors, numbered."""
+    """All rules of the registry over the floors, numbered."""
     return floor_rules.review(_floors(spark, sf))

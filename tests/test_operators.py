@@ -130,6 +130,15 @@ def test_requirements(spark):
     assert len(got) == len(rules.requirement_clauses())
 
 
+def test_high_warehouse(spark):
+    """17/1/6: a ceiling over 10 m decides; where none is known, large floors stay unknown."""
+    assert _requirements(spark, [("1F", 1, 800.0, False)], occupancy="乙-11", stories=1, height=12.0)["17"] == ("UNKNOWN", [])
+    assert _requirements(spark, [("1F", 1, 699.0, False)], occupancy="乙-11", stories=1, height=12.0)["17"][0] == "NOT_REQUIRED"
+    b = spark.createDataFrame([(1, "乙-11", 1, 12.0, None, 0.0)], "building int, occupancy string, stories int, height double, site_area double, roof_area double")
+    f = spark.createDataFrame([(1, "1F", 1, 800.0, False, 11.0)], "building int, label string, level int, area double, no_opening boolean, ceiling double")
+    assert {r.key: (r.status, r.law) for r in rules.requirements(rules.profile(b, f)).collect()}["17"] == ("REQUIRED", ["17/1/6"])
+
+
 def test_two_bounds(spark):
     rows = spark.createDataFrame([(1, 250.0, [1.0, 2.0]), (2, 250.0, [1.0, None]), (3, 250.0, [1.0]), (4, None, [1.0])], "floor int, area double, capacities array<double>")
     got = {r.floor: r.severity for r in rules.extinguisher_count(rows, 100.0).collect()}
