@@ -1,14 +1,16 @@
-"""Quality classifier: a factorisation machine over hashed words, structure and metadata.
+"""Quality classifier: a factorisation machine over hashed words and structure.
 
 A text becomes a sparse vector: its words hashed into ``2**HASH_BITS`` places
 (log counts, scaled to length one), and its structure statistics with the
-row's length metadata, each both standardised and cut into bins.  The score is
+text's length, each both standardised and cut into bins.  The score is
 
     sigmoid(w0 + sum_i w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2])
 
 whose right-hand sum is every pairwise interaction <v_i, v_j> x_i x_j in time
 linear in the number of words.
 
+No metadata column is read: the length is counted from the text.
+
 The model is fitted on a bounded sample: ``sample_rows`` labelled rows with the
 least ``xxhash64(id)``, the same ones on every run.  Only their vectors reach
 the driver.  Everything is scored, in one pass without a shuffle; the broadcast
