@@ -9,6 +9,7 @@ with the longest document and not with the batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,9 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
+#: Words beyond this length are hashed and compared one by one.
+_LONG = 1024
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 #: The white space of the contracts: bytes 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
@@ -107,12 +111,69 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> _U(31))
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running sums of value times power, from which any slice's hash follows."""
-    power, _ = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, _U)
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each byte, that byte and the seven after it as one number; beyond the end there are zeros."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes [start, end) of each word.
+
+    Words of up to seven bytes have different hashes; longer ones are mixed in
+    block by block, which leaves no words known to collide, but equal hashes are
+    no proof: what has to be exact compares (:func:`same`).
+    """
+    at_byte, size = eights(data), ends - starts
+    h = mix((at_byte[starts] & _LOW[np.minimum(size, 7)]) | np.minimum(size, 8).astype(_U) << _U(56))
+    long = np.flatnonzero(size > 7)
+    at, left = starts[long], size[long]
+    g = mix(left.astype(_U) + _U(0x9E3779B97F4A7C15))
+    going = np.flatnonzero(left <= _LONG)
+    while len(going):
+        block = at_byte[at[going]] & _LOW[np.minimum(left[going], 8)]
+        with np.errstate(over="ignore"):
+            g[going] = mix((g[going] ^ block) * _U(0xD6E8FEB86659FD93) + _U(1))
+        at[going] += 8
+        left[going] -= 8
+        going = going[left[going] > 0]
+    for i in np.flatnonzero(size[long] > _LONG).tolist():
+        whole = data[starts[long[i]] : ends[long[i]]].tobytes()
+        g[i] = int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "little")
+    h[long] = g
+    return h
+
+
+def same(data: np.ndarray, starts: np.ndarray, other: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether ``sizes`` bytes from each start are those from each of ``others`` in ``other``."""
+    x, y = eights(data), eights(other)
+    out = np.ones(len(starts), bool)
+    a, b, left = starts.copy(), others.copy(), sizes.copy()
+    going = np.flatnonzero((left > 0) & (left <= _LONG))
+    while len(going):
+        equal = ((x[a[going]] ^ y[b[going]]) & _LOW[np.minimum(left[going], 8)]) == 0
+        out[going[~equal]] = False
+        going = going[equal]
+        a[going] += 8
+        b[going] += 8
+        left[going] -= 8
+        going = going[left[going] > 0]
+    for i in np.flatnonzero(sizes > _LONG).tolist():
+        out[i] = np.array_equal(data[starts[i] : starts[i] + sizes[i]], other[others[i] : others[i] + sizes[i]])
+    return out
+
+
+def prefix_hash(values: np.ndarray) -> np.ndarray:
+    """Running sums of value times power, from which any slice's hash follows.
+
+    The values should be mixed 64-bit numbers that depend on their neighbours:
+    for plain bytes there are long strings whose sums always agree.
+    """
+    power, _ = _power(len(values) + 1)
+    sums = np.zeros(len(values) + 1, _U)
     with np.errstate(over="ignore"):
-        np.cumsum((data.astype(_U) + _U(1)) * power[: len(data)], out=sums[1:])
+        np.cumsum((values.astype(_U) + _U(1)) * power[: len(values)], out=sums[1:])
     return sums
 
 
@@ -136,22 +197,5 @@ def grams(values: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
-    """Position of the leftmost least key in each window of ``width`` keys."""
-    n = len(keys)
-    if n < width:
-        return np.zeros(0, np.int64)
-    bits = max(1, int(n - 1).bit_length())
-    packed = (keys & ~_U((1 << bits) - 1)) | np.arange(n, dtype=_U)
-    blocks = -(-n // width)
-    padded = np.full(blocks * width, ~_U(0), _U)
-    padded[:n] = packed
-    grid = padded.reshape(blocks, width)
-    left = np.minimum.accumulate(grid, axis=1).ravel()
-    right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(right[: n - width + 1], left[width - 1 : n])
-    return (least & _U((1 << bits) - 1)).astype(np.int64)
-
-
 def as_long(h: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(h).view(np.int64))

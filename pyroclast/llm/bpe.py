@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pyroclast.llm.arrays import flat, prefix_hash, ragged, slice_hash, slices
+from pyroclast.llm.arrays import flat, ragged, slices
 from pyroclast.llm.wordcache import WordCache
 
 #: The white space of the words' pattern, as code points.
@@ -244,8 +244,7 @@ class Vocabulary:
         starts, ends, forced = starts[keep], ends[keep], forced[keep]
         ends = np.append(starts[1:], len(data))
         plain = forced < 0
-        hashes = slice_hash(prefix_hash(data), starts, ends)
-        ids, some = self.cache.tokens(hashes[plain], data, starts[plain], ends[plain])
+        ids, some, _ = self.cache.tokens(data, starts[plain], ends[plain])
         count = np.ones(len(starts), np.int64)
         count[plain] = some
         out = np.empty(int(count.sum()), np.uint32)
@@ -257,8 +256,9 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the ids of each text, end to end, and how many each text has; unknown ids have none."""
-        ids = np.where(ids < len(self.length), ids, 0).astype(np.int64)
-        size = self.length[ids]
+        known = (ids >= 0) & (ids < len(self.length))
+        ids = np.where(known, ids, 0).astype(np.int64)
+        size = np.where(known, self.length[ids], 0)
         edge = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(size, out=edge[1:])
         last = np.cumsum(counts)

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pyroclast.llm.storage import stored
+from pyroclast.llm.tables import unused
 
 #: Fixed by the contract: characters that normalisation deletes.
 IGNORED = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -85,8 +86,9 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one row of each group."""
     kept = assign(docs, id_col, text_col, salts).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    rows = docs.withColumn("__own_sha", F.sha2(normalised(F.col(text_col)), 256))
-    stay = rows.join(kept, rows[id_col].eqNullSafe(kept["__id"]) & (rows["__own_sha"] == kept["__sha"]), "left_semi")
+    sha, n = unused(docs, "sha"), unused(docs, "n")
+    rows = docs.withColumn(sha, F.sha2(normalised(F.col(text_col)), 256))
+    stay = rows.join(kept, rows[id_col].eqNullSafe(kept["__id"]) & (rows[sha] == kept["__sha"]), "left_semi")
     # Rows that repeat an id and its text are one document.
-    repeated = Window.partitionBy(id_col, "__own_sha").orderBy(F.length(text_col).desc())
-    return stay.withColumn("__n", F.row_number().over(repeated)).where("__n = 1").drop("__n", "__own_sha")
+    repeated = Window.partitionBy(id_col, sha).orderBy(F.length(text_col).desc())
+    return stay.withColumn(n, F.row_number().over(repeated)).where(F.col(n) == 1).select(docs.columns)

@@ -19,12 +19,15 @@ rounds, neither of which emits the pairs of a group:
 1. star: every node meets the least node of its list; links are verified, and
    connected components found;
 2. what is left are lists with several components.  They are scanned in blocks
-   of at most ``BLOCK`` nodes (pairs of blocks, where a list has more), nodes
-   of different components only, and candidates are verified as before.
+   (pairs of blocks, where a list has more than one), nodes of different
+   components only.  A first scan, by sketches, keeps the nodes with any
+   candidate; to these their sets are joined, and a second scan verifies the
+   candidates where they meet and unites components as it goes, so a block
+   gives at most one link for each component that it joins to another.
 
 Before it is verified, a pair must pass a bound that never rejects a link: the
 parities of hashed shingles (one bit each) can't differ in more places than the
-sets do.
+sets do.  Shingles are compared by 64-bit hashes of their words.
 
 Result: one row per document with the number of its shingles and its component.
 Pairs inside a component aren't listed.
@@ -54,11 +57,15 @@ from pyroclast.llm.arrays import as_long, flat, mix, ragged, slices, to_binary
 from pyroclast.llm.components import components
 from pyroclast.llm.shingle_sets import shingles
 from pyroclast.llm.storage import stored
+from pyroclast.llm.tables import unused
 
 WIDTH, PERCENT = 3, 90
 #: Entries that scanning one inverted list is taken to cost, against one for emitting a subset.
 SCAN = 4
-BLOCK = 1024
+#: Nodes, and bytes of their sets, that one block of a list has on average.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
+#: Lists that a sample of one node in ``ONE_IN`` shows to be longer are counted by aggregates instead of in one window.
+HOT, ONE_IN = 16_384, 64
 #: Node ids are sent to all tasks up to this number (16 MB), and joined by a shuffle beyond it.
 BROADCAST_NODES = 2_000_000
 
@@ -284,42 +291,70 @@ def _passing(percent: int):
     return run
 
 
-def _scan(percent: int):
-    """Candidate pairs of one list, or of two blocks of it, between different components."""
+def _folded(column: pa.ChunkedArray) -> np.ndarray:
+    """Sketches as rows of the least width among them."""
+    data, at = flat(column.combine_chunks())
+    least = int(np.diff(at).min())
+    rows = np.empty((len(at) - 1, least), np.uint8)
+    for i in range(len(rows)):
+        s = data[at[i] : at[i + 1]]
+        while len(s) > least:
+            s = s[: len(s) // 2] ^ s[len(s) // 2 :]
+        rows[i] = s
+    return rows.view(np.uint64)
+
+
+def _with_candidates(percent: int):
+    """The nodes of a list, or of two blocks of it, that may link with one of another component there."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         plan = plan_of(percent)
-        table = table.combine_chunks()
-        node, root, n, block = (table.column(c).to_numpy() for c in ("node", "root", "n", "block"))
-        wide = table.column("sketch").combine_chunks()
-        data, at = flat(wide)
-        least = int(np.diff(at).min())
-        rows = np.empty((len(node), least), np.uint8)
-        for i in range(len(node)):
-            s = data[at[i] : at[i + 1]]
-            while len(s) > least:
-                s = s[: len(s) // 2] ^ s[len(s) // 2 :]
-            rows[i] = s
-        rows = rows.view(np.uint64) if least % 8 == 0 else rows
-        first, second = key[1].as_py(), key[2].as_py()
-        left = np.flatnonzero(block == first)
-        right = np.flatnonzero(block == second)
-        found_a, found_b = [], []
+        root, n, block = (table.column(c).to_numpy() for c in ("root", "n", "block"))
+        rows = _folded(table.column("sketch"))
+        left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+        stay = np.zeros(len(root), bool)
         step = max(1, (4 << 20) // max(1, len(right) * rows.shape[1]))
         for a in range(0, len(left), step):
             x = left[a : a + step]
-            near = (root[x][:, None] != root[right][None]) & (np.minimum(n[x][:, None], n[right]) * 100 >= np.maximum(n[x][:, None], n[right]) * percent)
-            i, j = np.nonzero(near)
-            if not len(i):
+            i, j = np.nonzero((root[x][:, None] != root[right][None]) & (np.minimum(n[x][:, None], n[right]) * 100 >= np.maximum(n[x][:, None], n[right]) * percent))
+            i, j = x[i], right[j]
+            apart = np.bitwise_count(rows[i] ^ rows[j]).sum(1, dtype=np.int64)
+            ok = apart <= plan.allowed(n[i], n[j])
+            stay[i[ok]] = stay[j[ok]] = True
+        return table.filter(pa.array(stay))
+
+    return run
+
+
+def _uniting(percent: int):
+    """Links between nodes of two blocks of a list, one for each time that two components become one."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        plan = plan_of(percent)
+        node, n, block = (table.column(c).to_numpy() for c in ("node", "n", "block"))
+        rows = _folded(table.column("sketch"))
+        data, at = flat(table.column("set").combine_chunks())
+        at = at // 8
+        shingle, number = np.unique(data.view(_U), return_inverse=True)
+        component = np.unique(table.column("root").to_numpy(), return_inverse=True)[1]
+        left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+        own = np.zeros(len(shingle), bool)
+        found_a, found_b = [], []
+        for x in left.tolist():
+            some = right[(component[right] != component[x]) & (np.minimum(n[x], n[right]) * 100 >= np.maximum(n[x], n[right]) * percent)]
+            some = some[np.bitwise_count(rows[x] ^ rows[some]).sum(1, dtype=np.int64) <= plan.allowed(n[x], n[some])]
+            if not len(some):
                 continue
-            apart = np.bitwise_count(rows[x[i]] ^ rows[right[j]]).sum(1, dtype=np.int64)
-            ok = apart <= plan.allowed(n[x[i]], n[right[j]])
-            found_a.append(node[x[i[ok]]])
-            found_b.append(node[right[j[ok]]])
-        a = np.concatenate([*found_a, np.zeros(0, np.int64)])
-        b = np.concatenate([*found_b, np.zeros(0, np.int64)])
-        pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+            own[number[at[x] : at[x + 1]]] = True
+            before = np.concatenate([[0], np.cumsum(n[some])])
+            both = np.add.reduceat(own[number[ragged(at[some], n[some])]], before[:-1], dtype=np.int64)
+            own[number[at[x] : at[x + 1]]] = False
+            linked = some[100 * both >= percent * (n[x] + n[some] - both)]
+            other, first = np.unique(component[linked], return_index=True)
+            found_a += [int(node[x])] * len(other)
+            found_b += node[linked[first]].tolist()
+            component[np.isin(component, other)] = component[x]
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
     return run
 
@@ -405,8 +440,20 @@ def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     nodes = named(heads.withColumn("high", F.col("hi"))).select("node", "high", "lo", "head", "n", "sketch")
 
     # Lists with the same nodes are one: a list is named by the sum of its nodes' hashes, their number and the least.
+    about = lambda over: (over(F.min("node")).alias("least"), over(F.max("node")).alias("most"), over(F.sum(F.expr("CAST(xxhash64(node) AS DECIMAL(20,0))"))).alias("sum"), over(F.count("*")).alias("count"))
+    few = list_entries(texts.where(F.pmod(F.xxhash64("text", F.lit(ONE_IN)), F.lit(ONE_IN)) == 0), width, percent).distinct().groupBy("key").count()
+    hot = stored(few.where(F.col("count") >= HOT // ONE_IN).select("key"), "jaccard-hot-lists")
+    some = hot.count()
+    cold = entries
+    if some:
+        marked = F.broadcast(hot) if some <= BROADCAST_NODES else hot
+        cold = entries.join(marked, "key", "left_anti")
+        hottest = stored(entries.join(marked, "key", "left_semi").distinct(), "jaccard-hot-entries")
     own = Window.partitionBy("key")
-    listed = entries.select("node", F.min("node").over(own).alias("least"), F.max("node").over(own).alias("most"), F.sum(F.expr("CAST(xxhash64(node) AS DECIMAL(20,0))")).over(own).alias("sum"), F.count("*").over(own).alias("count"))
+    listed = cold.select("node", *about(lambda c: c.over(own)))
+    if some:
+        counted = stored(hottest.groupBy("key").agg(*about(lambda c: c)), "jaccard-hot-counts")
+        listed = listed.union(hottest.join(F.broadcast(counted) if some <= BROADCAST_NODES else counted, "key").select(listed.columns))
     listed = listed.where("least < most").select(F.xxhash64("sum", "count", "least").alias("list"), "least", "node").distinct()
     lists = stored(listed, "jaccard-lists")
 
@@ -421,14 +468,14 @@ def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     roots = components(links)
 
     rooted = lists.select("list", "node").join(roots, "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
-    open_ = rooted.groupBy("list").agg(F.count("*").alias("size"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    open_ = rooted.join(small.select("node", "n"), "node").groupBy("list").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(8 * F.col("shingles") / BLOCK_BYTES)).cast("int")
     members = rooted.join(open_.select("list", blocks.alias("blocks")), "list").join(small, "node")
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    members = members.select("list", "node", "root", "n", "sketch", "block", other).select("*", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).drop("other")
-    found = members.groupBy("list", "one", "two").applyInArrow(_scan(percent), "a long, b long").distinct()
-    more = stored(_verify(found, sets, percent), "jaccard-links")
+    members = members.select("list", "node", "root", "n", "sketch", "block", other).select("list", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "root", "n", "block", "sketch")
+    near = stored(members.groupBy("list", "one", "two").applyInArrow(_with_candidates(percent), members.schema), "jaccard-near")
+    more = stored(near.join(sets, "node").groupBy("list", "one", "two").applyInArrow(_uniting(percent), "a long, b long").distinct(), "jaccard-links")
     roots = components(links.union(more))
 
     # The first row of each component, by node first: copies of a text meet in one small row.
@@ -446,11 +493,12 @@ def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     and text any one stays.
     """
     rows, of_node = _linked(docs, width, percent, id_col, text_col)
-    stay = stored(of_node.select(F.col("head.row").alias("__row")).distinct(), "jaccard-stay")
-    alone = rows.where("n = 0").select(F.col("row").alias("__row")).distinct()
-    often = stored(rows.where("n > 0").select(F.col("row").alias("__row")).join(stay, "__row").groupBy("__row").count().where("count > 1").select("__row"), "jaccard-often")
-    keyed = docs.withColumn("__row", _row(F.col(id_col), F.col(text_col)))
+    row = unused(docs, "row")
+    stay = stored(of_node.select(F.col("head.row").alias(row)).distinct(), "jaccard-stay")
+    alone = rows.where("n = 0").select(F.col("row").alias(row)).distinct()
+    often = stored(rows.where("n > 0").select(F.col("row").alias(row)).join(stay, row).groupBy(row).count().where("count > 1").select(row), "jaccard-often")
+    keyed = docs.withColumn(row, _row(F.col(id_col), F.col(text_col)))
     if often.isEmpty():
-        return keyed.join(stay.union(alone), "__row", "left_semi").select(docs.columns)
-    kept = keyed.join(stay.join(often, "__row", "left_anti").union(alone), "__row", "left_semi")
-    return kept.union(keyed.join(often, "__row", "left_semi").dropDuplicates(["__row"])).select(docs.columns)
+        return keyed.join(stay.union(alone), row, "left_semi").select(docs.columns)
+    kept = keyed.join(stay.join(often, row, "left_anti").union(alone), row, "left_semi")
+    return kept.union(keyed.join(often, row, "left_semi").dropDuplicates([row])).select(docs.columns)

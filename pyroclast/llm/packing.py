@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pyroclast.llm.arrays import flat, prefix_hash, ragged, slice_hash, slices, to_binary, words
+from pyroclast.llm.arrays import flat, ragged, slices, to_binary, words
 from pyroclast.llm.storage import stored
 from pyroclast.llm.wordcache import WordCache
 
@@ -125,8 +125,7 @@ class Tokens:
         """Ids end to end with ``end`` after each text, their number in each text, and the texts' Hilbert keys."""
         n = len(offsets) - 1
         starts, ends, doc = words(data, offsets)
-        hashes = slice_hash(prefix_hash(data), starts, ends)
-        ids, count = self.cache.tokens(hashes, data, starts, ends) if len(starts) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        ids, count, hashes = self.cache.tokens(data, starts, ends) if len(starts) else (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.uint64))
         total = np.bincount(doc, count, n).astype(np.int64)
         out = np.full(len(ids) + n, end, np.uint32)
         at = np.cumsum(total + 1) - (total + 1)

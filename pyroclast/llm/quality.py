@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pyroclast.llm.arrays import SPACE, flat, prefix_hash, slice_hash, slices, words
+from pyroclast.llm.arrays import SPACE, flat, slices, word_hash, words
 
 HASH_BITS = 15
 RANK = 6
@@ -67,9 +67,8 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Document number, place and value of the hashed words, and the statistics of each document."""
     n = len(offsets) - 1
     size = np.diff(offsets).astype(float)
-    sums = prefix_hash(data)
     starts, ends, doc = words(data, offsets)
-    h = slice_hash(sums, starts, ends)
+    h = word_hash(data, starts, ends)
     count = np.bincount(doc, minlength=n).astype(float)
     key, times = np.unique(doc.astype(np.uint64) << np.uint64(HASH_BITS) | h >> np.uint64(64 - HASH_BITS), return_counts=True)
     row = (key >> np.uint64(HASH_BITS)).astype(np.int64)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from pyroclast.llm.arrays import grams, prefix_hash, slice_hash, words
+from pyroclast.llm.arrays import grams, word_hash, words
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -23,7 +23,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     starts, ends, doc = words(low, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    h = slice_hash(prefix_hash(low), starts, ends)
+    h = word_hash(low, starts, ends)
     count = np.bincount(doc, minlength=n)
     own = grams(h, width)
     of = doc[: len(own)]

@@ -6,28 +6,43 @@ from collections.abc import Callable
 
 import numpy as np
 
-from pyroclast.llm.arrays import ragged
+from pyroclast.llm.arrays import ragged, same, word_hash
 
 LIMIT = 1_500_000
 
 
 class WordCache:
-    """Token ids of distinct words by the words' 64-bit hash; emptied when it holds ``limit`` words.
+    """Token ids of distinct words, found by the words' hash and compared by their bytes; emptied when it holds ``limit`` words.
 
     ``encode`` gets the distinct words that are new, and returns their ids end to
-    end with the number of ids of each.
+    end with the number of ids of each.  A word that shares its hash with
+    another one in the cache is encoded by itself.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = LIMIT):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = LIMIT, hashed: Callable = word_hash):
+        self.encode, self.limit, self.hashed = encode, limit, hashed
         self._clear()
 
     def _clear(self) -> None:
         self.keys, self.start, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.place, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.text = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
-    def tokens(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words end to end, and the number of ids of each word."""
+    def _add(self, keys: np.ndarray, at: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw = data.tobytes()
+        ids, count = self.encode([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        size = ends - starts
+        self.keys = np.insert(self.keys, at, keys)
+        self.start = np.insert(self.start, at, len(self.ids) + np.cumsum(count) - count)
+        self.count = np.insert(self.count, at, count)
+        self.place = np.insert(self.place, at, len(self.text) + np.cumsum(size) - size)
+        self.size = np.insert(self.size, at, size)
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+        self.text = np.concatenate([self.text, data[ragged(starts, size)]])
+
+    def tokens(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words end to end, the number of ids of each word, and the words' hashes."""
+        hashes = self.hashed(data, starts, ends)
         unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) + len(unique) > self.limit:
             self._clear()
@@ -36,15 +51,20 @@ class WordCache:
         inner = at < len(self.keys)
         new[inner] = self.keys[at[inner]] != unique[inner]
         if new.any():
-            raw = data.tobytes()
-            pick = first[new]
-            ids, count = self.encode([raw[a:b] for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)])
-            start = len(self.ids) + np.cumsum(count) - count
-            self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
-            self.keys = np.insert(self.keys, at[new], unique[new])
-            self.start = np.insert(self.start, at[new], start)
-            self.count = np.insert(self.count, at[new], count)
+            self._add(unique[new], at[new], data, starts[first[new]], ends[first[new]])
             at = np.searchsorted(self.keys, unique)
-        place = at[back]
-        count = self.count[place]
-        return self.ids[ragged(self.start[place], count)], count
+        entry = at[back]
+        size = ends - starts
+        equal = self.size[entry] == size
+        equal[equal] = same(data, starts[equal], self.text, self.place[entry[equal]], size[equal])
+        count = self.count[entry]
+        ids = self.ids[ragged(self.start[entry], count)]
+        if equal.all():
+            return ids, count, hashes
+        raw = data.tobytes()
+        odd = np.flatnonzero(~equal)
+        own, many = self.encode([raw[a:b] for a, b in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)])
+        pieces = np.split(ids, np.cumsum(count)[:-1])
+        for i, piece in zip(odd.tolist(), np.split(own, np.cumsum(many)[:-1]), strict=True):
+            pieces[i] = piece.astype(np.uint32)
+        return np.concatenate(pieces), np.array([len(p) for p in pieces], np.int64), hashes
