@@ -2,8 +2,8 @@
 
 :mod:`~pyroclast.llm.repeats` narrows the corpus down to shards of contents that
 may share a window of words.  A shard is one compressed full-text index: the
-Burrows-Wheeler transform of its contents, held in a wavelet tree (one bit
-vector with running counts for each bit of a word's number).  The contents are
+Burrows-Wheeler transform of its contents, held in a wavelet tree (one packed bit
+vector for each bit of a word's number, with a count at every 64th bit).  The contents are
 then streamed against it by backward search: from each place where a window can
 end, words are taken in leftwards while at least two places match.  The length
 reached is that end's matching statistic, and statistics of the window's length
@@ -24,17 +24,41 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pyroclast.llm.arrays import flat, prefix_hash, ragged, slice_hash, slices, words
-from pyroclast.llm.repeats import SHARD, Shape, Units, keyed, marks, repeated, with_repeats
+from pyroclast.llm.arrays import flat, grams, ragged, slices, word_hash, words
+from pyroclast.llm.repeats import SHARD, Method, Shape, keyed, marks, repeated, with_repeats
 
 WIDTH, GRAM = 35, 8
 
 
-def read(texts: pa.Array) -> Units:
+def read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = flat(texts)
     starts, ends, doc = words(data, offsets)
-    hashes = slice_hash(prefix_hash(data), starts, ends)
-    return Units(hashes, np.searchsorted(doc, np.arange(len(offsets))), hashes)
+    return word_hash(data, starts, ends), np.searchsorted(doc, np.arange(len(offsets)))
+
+
+def values(count: int):
+    """At each word, a hash of ``count`` words; what goes beyond the last one stands for itself."""
+
+    def run(hashes: np.ndarray) -> np.ndarray:
+        return grams(np.concatenate([hashes, np.zeros(count - 1, np.uint64)]), count)
+
+    return run
+
+
+class Bits:
+    """A bit vector in packed words, with the number of ones before each word."""
+
+    def __init__(self, ones: np.ndarray):
+        packed = np.packbits(np.concatenate([ones, np.zeros(64 - len(ones) % 64, bool)]), bitorder="little")
+        self.words = packed.view("<u8")
+        self.before = np.zeros(len(self.words), np.int32)
+        np.cumsum(np.bitwise_count(self.words[:-1]), out=self.before[1:])
+
+    def rank(self, upto: np.ndarray) -> np.ndarray:
+        """How many ones there are before each place."""
+        word = upto >> 6
+        low = (np.uint64(1) << (upto & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word] + np.bitwise_count(self.words[word] & low)
 
 
 class Index:
@@ -45,13 +69,11 @@ class Index:
         order = self._suffixes(symbols)
         transform = symbols[order - 1]
         self.before = np.concatenate([[0], np.cumsum(np.bincount(symbols))])
-        self.levels: list[tuple[int, np.ndarray, int]] = []
+        self.levels: list[tuple[int, Bits, int]] = []
         rest = transform
         for bit in range(max(1, int(symbols.max()).bit_length()) - 1, -1, -1):
             ones = (rest >> bit & 1).astype(bool)
-            counts = np.zeros(n + 1, np.int32)
-            np.cumsum(ones, out=counts[1:])
-            self.levels.append((bit, counts, n - int(counts[-1])))
+            self.levels.append((bit, Bits(ones), n - int(ones.sum())))
             rest = np.concatenate([rest[~ones], rest[ones]])
         # Where each symbol's run begins on the last level.
         self.base = np.zeros(int(symbols.max()) + 2, np.int64)
@@ -81,8 +103,8 @@ class Index:
     def rank(self, symbol: np.ndarray, upto: np.ndarray) -> np.ndarray:
         """How often each symbol occurs in the transform before ``upto``."""
         at = upto
-        for bit, counts, zeros in self.levels:
-            ones = counts[at]
+        for bit, bits, zeros in self.levels:
+            ones = bits.rank(at)
             at = np.where(symbol >> bit & 1, zeros + ones, at - ones)
         return at - self.base[symbol]
 
@@ -128,8 +150,9 @@ def match(data: np.ndarray, at: np.ndarray, shape: Shape) -> np.ndarray:
 def _pieces(docs: DataFrame, width: int, shard: int, id_col: str, text_col: str) -> DataFrame:
     gram = min(GRAM, max(1, width // 4))
     shape = Shape(width, gram, max(1, (width - gram + 1) // 4))
+    count = min(2, gram)
     texts = keyed(docs, id_col, text_col)
-    return with_repeats(texts, repeated(texts, read, match, shape, np.dtype(np.uint64), shard))
+    return with_repeats(texts, repeated(texts, Method(read, values(count), count - 1, match, np.dtype(np.uint64)), shape, shard))
 
 
 def _kept(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:

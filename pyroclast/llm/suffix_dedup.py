@@ -23,15 +23,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pyroclast.llm.arrays import flat, ragged, slices
-from pyroclast.llm.repeats import SHARD, Shape, Units, keyed, marks, repeated, with_repeats
+from pyroclast.llm.arrays import eights, flat, mix, ragged, slices
+from pyroclast.llm.repeats import SHARD, Method, Shape, keyed, marks, repeated, with_repeats
 
 WIDTH, GRAM, STEP, QGRAM = 200, 32, 43, 8
 
 
-def read(texts: pa.Array) -> Units:
-    data, offsets = flat(texts)
-    return Units(data, offsets, data)
+def values(count: int):
+    """At each byte, a hash of ``count`` bytes (eight at most)."""
+
+    def run(data: np.ndarray) -> np.ndarray:
+        return mix(eights(data)[: len(data)] & np.uint64((1 << 8 * count) - 1))
+
+    return run
 
 
 def _split(bucket: np.ndarray, later: np.ndarray) -> np.ndarray:
@@ -77,8 +81,9 @@ def refine(data: np.ndarray, at: np.ndarray, shape: Shape, q: int = QGRAM) -> np
 
 def _pieces(docs: DataFrame, width: int, shard: int, id_col: str, text_col: str) -> DataFrame:
     shape = Shape(width, min(GRAM, width // 4), max(1, (width - min(GRAM, width // 4) + 1) // 4 + 1))
+    count = min(8, shape.gram)
     texts = keyed(docs, id_col, text_col)
-    return with_repeats(texts, repeated(texts, read, refine, shape, np.dtype(np.uint8), shard))
+    return with_repeats(texts, repeated(texts, Method(flat, values(count), count - 1, refine, np.dtype(np.uint8)), shape, shard))
 
 
 def _kept(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
