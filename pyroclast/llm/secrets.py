@@ -5,16 +5,22 @@ more characters out of ``[A-Za-z0-9+/_=-]``, with a letter and a digit, that loo
 drawn at random from the alphabet of their inferred encoding (hexadecimal,
 base 32, lower or upper alphanumeric, alphanumeric, base 64):
 
-* chi-squared: the characters' counts against a uniform alphabet;
+* chi-squared: the characters' counts against a uniform alphabet (its number of
+  equal pairs, by a gamma law with its first three moments, which short strings need);
 * runs: how often the string changes between the halves of the alphabet;
 * serial correlation of neighbouring characters.
 
-The three p-values are joined by Fisher's method.  Strings are then tested
-against each other, by classes of length (powers of two): within a class the
-Benjamini-Hochberg procedure at level ``fdr`` rejects randomness, so that long
-classes, where natural text is far out, and short ones, where it is not, each
-have their own threshold.  What isn't rejected and carries at least
-``min_bits`` bits is reported as ``random``.  A run of these characters may
+The last two are correlated by a known amount and make one p-value, which joins
+the first by Fisher's method.  On random strings of 20 characters and more of each
+alphabet, 0.9 to 1.3 per cent have a p-value up to 0.01.
+
+False discoveries are controlled in what is reported, by classes of length (powers of
+two): natural strings have small p-values, random ones any, so p-values above one
+half tell how many random strings a class has.  A class reports
+the p-values above the least bound at which at most a share ``fdr`` of the strings there is more than
+so many random ones would give; the bound is never below ``miss``.  Long classes, where natural text is far out, so go down to it, and short
+ones, where it is not, stop earlier.  What carries less than ``min_bits`` bits is not reported.
+A run of these characters may
 join a secret to a name or a path, so beside the whole run its pieces between
 ``=`` (other than padding at the end), between ``=`` and ``/``, and between all
 signs but ``+`` are tested, where they have 20 characters and more, and a piece
@@ -33,11 +39,15 @@ result; extra columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyroclast.llm.tables import unused
+
 #: Fixed by the contract: kinds and patterns, in their order.
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)(?-i)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -48,7 +58,7 @@ PIECES = ["[^=]{20,}(?:=+$)?", "[^=/]{20,}(?:=+$)?", "[A-Za-z0-9+]{20,}(?:=+$)?"
 KINDS = ["assign", "access", "hex", "random"]
 
 _SPANS = "array<struct<s:int,e:int,t:string>>"
-_LONGEST, _BINS = 16, 200
+_LONGEST, _BINS, _BLOCK = 16, 200, 256
 
 #: Encodings in the order they are tried: pattern of the whole string, alphabet.
 ENCODINGS = [
@@ -58,6 +68,7 @@ ENCODINGS = [
     (r"^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     (r"^[A-Z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     (r"^[A-Za-z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
+    (r"^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     (r"^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     (r"^.*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="),
 ]
@@ -68,6 +79,7 @@ def matches(text: Column, pattern: str) -> Column:
     p = F.lit(pattern)
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, p, 0), lambda gap, t: F.struct(F.length(gap).alias("gap"), t.alias("t")))
     empty = F.lit(None).cast(_SPANS)
+    none = F.slice(F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("t"))), 1, 0).cast(_SPANS)
 
     def add(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
@@ -75,77 +87,106 @@ def matches(text: Column, pattern: str) -> Column:
         one = F.array(F.struct(start.cast("int").alias("s"), end.alias("e"), x["t"].alias("t")))
         return F.struct(end.alias("at"), F.when(x["t"].isNull(), state["found"]).otherwise(F.concat(state["found"], one)).alias("found"))
 
-    none = F.slice(F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("t"))), 1, 0).cast(_SPANS)
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), add, lambda state: state["found"])
-    return F.when(text.rlike(pattern), folded).otherwise(F.coalesce(empty, none))
+    # Arrays are copied when they grow, so matches are placed in blocks, and the blocks after each other.
+    def block(every: Column, i: Column) -> Column:
+        return F.aggregate(F.slice(every, i + 1, _BLOCK), F.struct(F.lit(0).alias("at"), none.alias("found")), add)
+
+    def follow(state: Column, x: Column) -> Column:
+        moved = F.transform(x["found"], lambda y: F.struct((y["s"] + state["at"]).alias("s"), (y["e"] + state["at"]).alias("e"), y["t"].alias("t")))
+        return F.struct((state["at"] + x["at"]).alias("at"), F.concat(state["found"], F.array(moved)).alias("found"))
+
+    def placed(every: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.size(every) - 1, F.lit(_BLOCK)), lambda i: block(every, i))
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array(none).alias("found")), follow, lambda state: F.flatten(state["found"]))
+
+    return F.when(text.rlike(pattern), _named(pairs, placed)).otherwise(F.coalesce(empty, none))
+
+
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used: a one-element transform names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _normal_tail(z: Column) -> Column:
     """P(Z > z) for z >= 0, by a rational approximation with an error under 1e-7."""
-    t = 1 / (1 + 0.2316419 * z)
-    poly = reduce(lambda acc, c: (acc + c) * t, [1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530], F.lit(0.0))
-    return F.exp(-z * z / 2) * 0.3989422804014327 * poly
+
+    def tail(t: Column) -> Column:
+        poly = reduce(lambda acc, c: (acc + c) * t, [1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530], F.lit(0.0))
+        return F.exp(-z * z / 2) * 0.3989422804014327 * poly
+
+    return _named(1 / (1 + 0.2316419 * z), tail)
 
 
 def _upper(z: Column) -> Column:
-    z = F.greatest(F.least(z, F.lit(8.0)), F.lit(-8.0))
-    return F.when(z >= 0, _normal_tail(z)).otherwise(1 - _normal_tail(-z))
+    within = F.greatest(F.least(z, F.lit(8.0)), F.lit(-8.0))
+    return _named(within, lambda z: _named(_normal_tail(F.abs(z)), lambda p: F.when(z >= 0, p).otherwise(1 - p)))
+
+
+def _equal_pairs(codes: Column, n: Column, k: Column) -> Column:
+    """How far the number of equal pairs of characters is above that of a uniform alphabet, as a normal deviate."""
+    start = F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("pairs"))
+
+    def count(state: Column, c: Column) -> Column:
+        run = F.when(state["last"] == c, state["run"] + 1).otherwise(0.0)
+        return F.struct(c.alias("last"), run.alias("run"), (state["pairs"] + run).alias("pairs"))
+
+    found = F.aggregate(F.array_sort(codes), start, count, lambda s: s["pairs"])
+    pairs, q = n * (n - 1) / 2, 1 / k
+    variance = pairs * q * (1 - q)
+    third = variance * (1 - 2 * q) + n * (n - 1) * (n - 2) * q * q * (1 - q)
+
+    def deviate(shape: Column) -> Column:
+        # Wilson and Hilferty's cube root of a gamma variable.
+        gamma = F.greatest(shape + (found - pairs * q) / F.sqrt(variance) * F.sqrt(shape), F.lit(1e-9))
+        return (F.pow(gamma / shape, 1 / 3) - (1 - 1 / (9 * shape))) * 3 * F.sqrt(shape)
 
+    return _named(4 * variance * variance * variance / (third * third), deviate)
 
-def _two_sided(z: Column) -> Column:
-    return F.least(F.lit(1.0), 2 * _normal_tail(F.least(F.abs(z), F.lit(8.0))))
+
+def _order(codes: Column, n: Column, k: Column) -> Column:
+    """Minus the logarithm of the joined p-value of turns between the alphabet's halves and of serial correlation."""
+    walk = F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("turns"), F.lit(0.0).alias("lag"))
+
+    def move(s: Column, c: Column) -> Column:
+        begun = s["last"] >= 0
+        turn = begun & ((c > k / 2) != (s["last"] > k / 2))
+        product = (s["last"] - (k + 1) / 2) * (c - (k + 1) / 2)
+        return F.struct(c.alias("last"), (s["turns"] + turn.cast("double")).alias("turns"), (s["lag"] + F.when(begun, product).otherwise(0.0)).alias("lag"))
+
+    def deviates(s: Column) -> Column:
+        high = F.ceil(k / 2) / k
+        turn = 2 * high * (1 - high)
+        runs = (s["turns"] - (n - 1) * turn) / F.sqrt((n - 1) * turn * (1 - turn))
+        serial = s["lag"] / ((k * k - 1) / 12 * F.sqrt(n - 1))
+        return F.struct(runs.alias("runs"), serial.alias("serial"), (-0.75 * k * k / (k * k - 1)).alias("r"))
+
+    def joined(z: Column) -> Column:
+        return (z["runs"] * z["runs"] + z["serial"] * z["serial"] - 2 * z["r"] * z["runs"] * z["serial"]) / (2 * (1 - z["r"] * z["r"]))
+
+    return _named(F.aggregate(codes, walk, move, deviates), joined)
 
 
 def battery(t: Column) -> Column:
     """For a string: its number of characters ``n``, alphabet size ``k`` and joined p-value ``p`` of being random."""
 
-    def measured(body: Column, alphabet: Column, k: Column) -> Column:
-        n = F.length(body).cast("double")
-        codes = F.transform(F.split(body, ""), lambda c: F.instr(alphabet, c).cast("double"))
-        codes = F.filter(codes, lambda c: c > 0)
-        start = F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
-
-        def square(state: Column, c: Column) -> Column:
-            same = state["last"] == c
-            run = F.when(same, state["run"] + 1).otherwise(1.0)
-            return F.struct(c.alias("last"), run.alias("run"), (state["sum"] + 2 * run - 1).alias("sum"))
-
-        squares = F.aggregate(F.array_sort(codes), start, square, lambda s: s["sum"])
-        df = k - 1
-        chi = F.greatest(k / n * squares - n, F.lit(0.0))
-        # Wilson and Hilferty's cube root, with the variance of a small sample.
-        z_chi = (F.pow(chi / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df) * (n - 1) / n)
-        walk = F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("high"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("sq"), F.lit(0.0).alias("lag"))
-
-        def move(s: Column, c: Column) -> Column:
-            high = c > k / 2
-            turn = (s["last"] < 0) | (high != (s["last"] > k / 2))
-            return F.struct(
-                c.alias("last"),
-                (s["runs"] + turn.cast("double")).alias("runs"),
-                (s["high"] + high.cast("double")).alias("high"),
-                (s["sum"] + c).alias("sum"),
-                (s["sq"] + c * c).alias("sq"),
-                (s["lag"] + F.when(s["last"] < 0, 0.0).otherwise((s["last"] - (k + 1) / 2) * (c - (k + 1) / 2))).alias("lag"),
-            )
+    def measured(x: Column) -> Column:
+        codes = F.filter(F.transform(F.split(x["b"], ""), lambda c: F.instr(x["a"], c).cast("double")), lambda c: c > 0)
+        sizes = F.struct(codes.alias("codes"), F.length(x["b"]).cast("double").alias("n"), F.length(x["a"]).cast("double").alias("k"))
 
-        def joined(s: Column) -> Column:
-            a, b = s["high"], n - s["high"]
-            mean = 2 * a * b / n + 1
-            spread = F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9)))
-            z_runs = F.when((a == 0) | (b == 0), 8.0).otherwise((s["runs"] - mean) / spread)
-            z_serial = s["lag"] / ((k * k - 1) / 12 * F.sqrt(n - 1))
-            x = -2 * (F.ln(_upper(z_chi)) + F.ln(_two_sided(z_runs)) + F.ln(_two_sided(z_serial)))
-            p = F.exp(-x / 2) * (1 + x / 2 + x * x / 8)  # chi-squared with six degrees of freedom
-            return F.struct(n.alias("n"), k.alias("k"), F.greatest(p, F.lit(1e-60)).alias("p"))
+        def tested(y: Column) -> Column:
+            joined = _order(y["codes"], y["n"], y["k"]) - F.ln(_upper(_equal_pairs(y["codes"], y["n"], y["k"])))
+            p = _named(joined, lambda v: F.exp(-v) * (1 + v))  # chi-squared with four degrees of freedom
+            return F.struct(y["n"].alias("n"), y["k"].alias("k"), F.greatest(p, F.lit(1e-60)).alias("p"))
 
-        return F.aggregate(codes, walk, move, joined)
+        return _named(sizes, tested)
 
     body = F.regexp_replace(t, "=+$", "")
-    alphabet = reduce(lambda rest, e: F.when(body.rlike(e[0]), F.lit(e[1])).otherwise(rest), reversed(ENCODINGS[:-1]), F.lit(ENCODINGS[-1][1]))
-    # One-element transforms name the parts, so each is computed once.
-    named = F.array(F.struct(body.alias("b"), alphabet.alias("a")))
-    return F.element_at(F.transform(named, lambda x: measured(x["b"], x["a"], F.length(x["a"]).cast("double"))), 1)
+
+    def inferred(body: Column) -> Column:
+        alphabet = reduce(lambda rest, e: F.when(body.rlike(e[0]), F.lit(e[1])).otherwise(rest), reversed(ENCODINGS[:-1]), F.lit(ENCODINGS[-1][1]))
+        return F.struct(body.alias("b"), alphabet.alias("a"))
+
+    return _named(_named(body, inferred), measured)
 
 
 def _base(text: Column) -> Column:
@@ -196,41 +237,51 @@ def _candidates(text: Column) -> Column:
                 (m["n"] * F.log2(m["k"])).alias("bits"),
             )
 
-        return F.element_at(F.transform(F.array(battery(x["t"])), told), 1)
+        return _named(battery(x["t"]), told)
 
     return F.transform(some, classed)
 
 
-def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = 0.05) -> dict[int, int]:
-    """For each class of length that has candidates, the least bin where randomness is rejected (at most 17 numbers)."""
+def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = 0.05, miss: float = 2**-10) -> dict[int, int]:
+    """For each class of length that has candidates, the bin below which they are reported (at most 17 numbers)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(F.explode(_candidates(_blanked(text, _base(text)))).alias("c"))
     counts = found.groupBy("c.size", "c.bin").count().collect()  # at most 17 x 201 rows
-    cuts = {}
-    for size in {r["size"] for r in counts}:
-        own = {r["bin"]: r["count"] for r in counts if r["size"] == size}
-        m, beyond = sum(own.values()), 0
-        cuts[size] = _BINS + 1
-        for b in range(_BINS, -1, -1):
-            beyond += own.get(b, 0)
-            if beyond and 2 ** (-b / 4) * m / beyond <= fdr:
-                cuts[size] = b
-    return cuts
+    own: dict[int, dict[int, int]] = {}
+    for r in counts:
+        own.setdefault(r["size"], {})[r["bin"]] = r["count"]
+    return {size: cut_of(bins, fdr, miss) for size, bins in own.items()}
+
+
+def cut_of(bins: dict[int, int], fdr: float, miss: float) -> int:
+    """The most bins (of p-values above ``2 ** (-cut / 4)``) of which at most a share ``fdr`` is more than random strings would give."""
+    # Half of the random strings are above one half; one and a standard error are added, so that few strings aren't judged by their noise.
+    upper = sum(n for b, n in bins.items() if b < 4)
+    random = 2 * (upper + 1 + math.sqrt(upper))
+    cut = within = 0
+    for b in range(1, min(_BINS, math.floor(-4 * math.log2(miss))) + 1):
+        within += bins.get(b - 1, 0)
+        if within - random * (1 - 2 ** (-b / 4)) <= fdr * within:
+            cut = b
+    return cut
 
 
 def find(docs: DataFrame, text_col: str = "text", fdr: float = 0.05, min_bits: float = 90.0, into: str = "secret_spans") -> DataFrame:
-    """``docs`` with a column ``into``, an array of (s, rank, e) by start and then kind, rank counting ``KINDS`` from 0."""
+    """``docs`` with a column ``into``, an array of (s, rank, e) by start and then kind, rank counting ``KINDS`` from 0.
+
+    A column of that name is replaced.
+    """
     cuts = thresholds(docs, text_col, fdr)
-    cut = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]) if cuts else None
     text = F.coalesce(F.col(text_col), F.lit(""))
-
-    out = docs.withColumn("__base", _base(text))
-    if cut is None:
-        return out.withColumn(into, F.array_sort("__base")).drop("__base")
-    out = out.withColumn("__rest", _candidates(_blanked(text, F.col("__base"))))
-    out = out.withColumn("__rest", F.filter("__rest", lambda x: (x["bits"] >= min_bits) & (x["bin"] < F.coalesce(F.try_element_at(cut, x["size"]), F.lit(_BINS + 1)))))
-    whole = F.filter("__rest", lambda x: ~F.exists("__rest", lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]) & (y["e"] - y["s"] > x["e"] - x["s"])))
-    return out.withColumn(into, F.array_sort(F.concat("__base", _ranked(whole, 3)))).drop("__base", "__rest")
+    base, rest = unused(docs, "base"), unused(docs, "rest")
+    out = docs.withColumn(base, _base(text))
+    if not cuts:  # no candidate in any text
+        return out.withColumn(into, F.array_sort(base)).drop(base)
+    cut = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
+    out = out.withColumn(rest, _candidates(_blanked(text, F.col(base))))
+    out = out.withColumn(rest, F.filter(rest, lambda x: (x["bits"] >= min_bits) & (x["bin"] < F.coalesce(F.try_element_at(cut, x["size"]), F.lit(0)))))
+    whole = F.filter(rest, lambda x: ~F.exists(rest, lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]) & (y["e"] - y["s"] > x["e"] - x["s"])))
+    return out.withColumn(into, F.array_sort(F.concat(base, _ranked(whole, 3)))).drop(base, rest)
 
 
 def count_of(spans: Column, kind: str) -> Column:
@@ -249,7 +300,8 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", fdr:
 
     Texts without a span, null ones included, stay as they are.
     """
-    found = find(docs, text_col, fdr=fdr, into="__spans")
+    spans = unused(docs, "spans")
+    found = find(docs, text_col, fdr=fdr, into=spans)
 
     def merge(state: Column, x: Column) -> Column:
         gap = F.when(x["s"] >= state["at"], F.concat(F.substring(F.col(text_col), state["at"] + 1, x["s"] - state["at"]), F.lit(mark))).otherwise("")
@@ -257,5 +309,5 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", fdr:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda s: F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, F.length(text_col)))
-    clean = F.when(F.size("__spans") > 0, F.aggregate("__spans", start, merge, rest)).otherwise(F.col(text_col))
-    return found.withColumn(text_col, clean).drop("__spans")
+    clean = F.when(F.size(spans) > 0, F.aggregate(spans, start, merge, rest)).otherwise(F.col(text_col))
+    return found.withColumn(text_col, clean).drop(spans)

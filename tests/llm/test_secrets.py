@@ -101,3 +101,38 @@ def test_redact(spark, odd):
     got = {r.doc_id: (r.text, r.secret_spans) for r in secrets.redact(df).collect()}
     assert got == {1: ('my [SECRET]" end', 7), 2: (None, 7), 3: ("é [SECRET] x [SECRET]", 7)}
     assert secrets.redact(odd).columns == odd.columns
+
+
+def test_p_values_of_random_strings(spark):
+    rng = random.Random(9)
+    for length in (20, 24, 40):
+        for alphabet in ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
+            rows = [("".join(rng.choice(alphabet) for _ in range(length)),) for _ in range(6000)]
+            p = secrets.battery(F.col("t"))["p"]
+            some = spark.createDataFrame(rows, "t string").repartition(8).agg(*[F.avg((p <= a).cast("int")) for a in (0.01, 0.05, 0.5)]).first()
+            assert 0.005 <= some[0] <= 0.015 and 0.04 <= some[1] <= 0.065 and 0.45 <= some[2] <= 0.55, (length, some)
+
+
+def test_precision_and_recall(spark):
+    rng = random.Random(11)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    names = "customer order invoice total average monthly report version final update service account manager payment history export".split()
+    rows = [(1, "key " + "".join(rng.choice(b64) for _ in range(rng.choice([24, 32, 40, 64])))) for _ in range(300)]
+    rows += [(0, "key " + "_".join(rng.sample(names, 5)) + str(rng.randint(1, 99))) for _ in range(600)]
+    hit = secrets.count_of(F.col("secret_spans"), "random") > 0
+    found = spark.createDataFrame(rows, "kind int, text string").repartition(8)
+    n = {(r.kind, r.hit): r["count"] for r in secrets.find(found).withColumn("hit", hit).groupBy("kind", "hit").count().collect()}
+    recall = n.get((1, True), 0) / 300
+    precision = n.get((1, True), 0) / max(1, n.get((1, True), 0) + n.get((0, True), 0))
+    assert recall > 0.95 and precision > 0.9, (recall, precision)
+
+
+def test_many_matches_in_one_text(spark):
+    text = "é " + "token=abcdef1 x " * 700 + "AKIA" + "B" * 20
+    got = secrets.find(spark.createDataFrame([(text,)], "text string")).select(secrets.rendered(F.col("secret_spans"), 3)).first()[0]
+    assert got == ",".join(f"{PATTERNS[k][0]}:{a}:{b}" for a, k, b in brute(text))
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "token=abcdef1", 5, 6)], "doc_id long, text string, base int, rest int")
+    assert [(r.base, r.rest) for r in secrets.find(df).collect()] == [(5, 6)]
