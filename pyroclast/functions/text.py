@@ -111,7 +111,7 @@ def is_continuation(line: Column) -> Column:
 
 def name_norm(text: Column) -> Column:
     """Names without white space, with one kind of brackets and commas."""
-    return F.translate(F.regexp_replace(text, r"(?U)\s+", ""), "（）［］，侷", "()[],局")
+    return F.translate(F.regexp_replace(text, r"(?U)\s+", ""), "（）［］，、侷", "()[],,局")
 
 
 def floor_label(title: Column) -> Column:
@@ -252,9 +252,14 @@ def room_kind(labels: Column, rules: list[tuple[str, str]], strong: list[str]) -
     return F.struct(kind.alias("kind"), conflict.alias("conflict"))
 
 
+# Notes on a plan that are no room's name.
+NOT_A_NAME = r"PIT|^\d+(\.\d+)?T$|荷重|F\d+A|防火|遮煙|阻熱|投影|伸縮縫|護欄|坡度|天溝|H=|OH:|㎡|cm|mm|\d{2,}"
+
+
 def is_room_name(text: Column) -> Column:
-    """Has an ideograph, at most 20 characters, and isn't a dimension or a rating."""
-    return text.rlike("[\u4e00-\u9fff]") & (F.length(text) <= 20) & ~text.rlike(r"\d{2,}|防火|時效|[xX×]\s*\d")
+    """Has an ideograph, at most 20 characters, and isn't a note on ratings, loads, sizes or the like."""
+    name = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return name.rlike("[\u4e00-\u9fff]") & (F.length(name) <= 20) & ~name.rlike(NOT_A_NAME)
 
 
 def metadata_field(fields: Column, pattern: str) -> Column:

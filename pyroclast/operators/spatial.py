@@ -81,9 +81,15 @@ def smallest_box(points: DataFrame, boxes: DataFrame, size: float = 50.0) -> Dat
 def first_wins(points: DataFrame, group: list[str], tolerance: float) -> DataFrame:
     """Points (ord, x, y) that no kept earlier point of their group is near, in both coordinates.
 
-    The rule depends on order: a group is one sheet and block name, and is
-    scanned once with a grid of the tolerance.
+    The rule depends on order: a group is one sheet and block name.  Points with a
+    gap of more than the tolerance between their x can't meet, so a group is cut
+    there first, and each piece scanned once with a grid of the tolerance.
     """
+    order = Window.partitionBy(*group).orderBy("x")
+    columns = points.columns
+    piece = "piece" + "_" * max(map(len, columns))
+    apart = F.coalesce((F.col("x") - F.lag("x").over(order) > tolerance).cast("int"), F.lit(0))
+    pieces = points.withColumn(piece, apart).withColumn(piece, F.sum(piece).over(order))
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
@@ -95,9 +101,9 @@ def first_wins(points: DataFrame, group: list[str], tolerance: float) -> DataFra
             stay.append(not near)
             if not near:
                 grid.setdefault((i, j), []).append((x, y))
-        return pdf[stay]
+        return pdf.loc[stay, columns]
 
-    return points.groupBy(*group).applyInPandas(keep, points.schema)
+    return pieces.groupBy(*group, piece).applyInPandas(keep, points.schema)
 
 
 def greedy_nearest(items: DataFrame, places: DataFrame, group: str, radius: float) -> DataFrame:

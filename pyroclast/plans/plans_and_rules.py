@@ -286,13 +286,13 @@ def pipe_rule(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
     SELECT c_custkey AS room, 'EML-24' AS rule, CASE WHEN level = 1 AND w IS NULL THEN 'YELLOW' ELSE 'RED' END AS severity FROM (
         SELECT c_custkey, c_custkey % 4 AS level, CASE WHEN c_custkey % 5 > 0 THEN (c_custkey % 60)::DOUBLE END AS w, c_mktsegment AS seg FROM customer)
-    WHERE seg <> 'BUILDING' AND NOT (level = 1 AND coalesce(w <= 30, false)) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
+    WHERE seg <> 'BUILDING' AND NOT (level = 1 AND coalesce(w <= 30, false)) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')
 """)
 def emergency_light_rule(spark: SparkSession, sf: str) -> DataFrame:
     """Rooms without a light that aren't exempt."""
     k = F.col("c_custkey")
     rooms = table(spark, sf, "customer").select(k.alias("room"), F.when(F.col("c_mktsegment") == "BUILDING", "toilet").otherwise("room").alias("kind"), (k % 4).alias("level"), F.when(k % 5 > 0, (k % 60).cast("double")).alias("exit_walk"))
-    return floor_rules.emergency_lights(rooms, table(spark, sf, "orders").select(F.col("o_custkey").alias("room")))
+    return floor_rules.emergency_lights(rooms, table(spark, sf, "orders").where(F.col("o_orderpriority").startswith("1")).select(F.col("o_custkey").alias("room")))
 
 
 @query()

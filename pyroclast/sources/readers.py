@@ -121,7 +121,12 @@ TABLE = "node_id string, title string, status string, verified_by string, verifi
 
 
 def yaml_tables(spark: SparkSession, path: str) -> DataFrame:
-    """YAML table documents as rows of ``TABLE``."""
+    """YAML table documents of a folder as rows of ``TABLE``."""
+    return yaml_rows(spark.read.option("pathGlobFilter", "*.yaml").text(path, wholetext=True))
+
+
+def yaml_rows(texts: DataFrame, column: str = "value") -> DataFrame:
+    """Rows of ``TABLE`` from YAML texts."""
 
     @F.pandas_udf("string")
     def as_json(texts: pd.Series) -> pd.Series:
@@ -129,8 +134,7 @@ def yaml_tables(spark: SparkSession, path: str) -> DataFrame:
 
         return texts.map(lambda t: json.dumps(yaml.safe_load(t), default=str, ensure_ascii=False))
 
-    files = spark.read.option("pathGlobFilter", "*.yaml").text(path, wholetext=True)
-    return files.select(F.from_json(as_json("value"), TABLE).alias("t")).select("t.*")
+    return texts.select(F.from_json(as_json(column), TABLE).alias("t")).select("t.*")
 
 
 def invalid_tables(tables: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ there is and returns the written rows.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,13 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pyroclast.functions.text import business_day
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a temporary one where it names none."""
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pyroclast-")
+from pyroclast.sources.shared import fresh
 
 
 def parquet_stream(spark: SparkSession, folder: str, name: str, ts: str = "ts") -> DataFrame:
@@ -38,7 +31,7 @@ def parquet_stream(spark: SparkSession, folder: str, name: str, ts: str = "ts")
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Write what is available as Parquet in the shared folder, exactly once, and read it."""
     spark = stream.sparkSession
-    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    out = fresh(spark, "stream")
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
