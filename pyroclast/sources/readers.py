@@ -49,7 +49,7 @@ def articles(laws_: DataFrame) -> DataFrame:
     rows = laws_.select("pcode", F.posexplode("LawArticles.Article").alias("seq", "a")).select("pcode", "seq", F.col("a.ArticleType").alias("type"), F.col("a.ArticleNo").alias("no"), F.trim("a.ArticleContent").alias("text"))
     heading = F.col("type") == "C"
     # An outer heading voids the inner ones: each level carries the row it was set at.
-    for name, pattern in (("part", "^第[^ ]*編"), ("chapter", "^第[^ ]*章"), ("section", "^第[^ ]*節")):
+    for name, pattern in (("part", "^第[^編章節]*編"), ("chapter", "^第[^編章節]*章"), ("section", "^第[^編章節]*節")):
         rows = carry_forward(rows, F.when(heading & F.col("text").rlike(pattern), F.struct("seq", "text")), f"__{name}", ["pcode"], "seq")
     after = lambda inner, *outer: F.when(F.greatest(*[F.coalesce(F.col(f"__{o}.seq"), F.lit(-1)) for o in outer], F.lit(-1)) < F.col(f"__{inner}.seq"), F.col(f"__{inner}.text"))
     path = F.array_join(F.filter(F.array(F.col("__part.text"), after("chapter", "part"), after("section", "part", "chapter")), lambda x: x.isNotNull()), " > ")
