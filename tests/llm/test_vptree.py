@@ -32,7 +32,7 @@ def test_recall_of_the_query(spark):
 
 def test_relaxed_pruning_visits_less(spark):
     points = np.random.default_rng(2).random((4000, 6))
-    tree = vptree.build(points)
+    tree = vptree.Tree(points)
     exact, loose = (vptree.Search(points, tree, points[:50], 5, f) for f in (1.0, 0.3))
     assert loose.visited < exact.visited
     hit = np.mean([len(set(a) & set(b)) / 5 for a, b in zip(exact.row, loose.row, strict=True)])
@@ -45,3 +45,18 @@ def test_odd_vectors(spark):
     got = [tuple(r) for r in vptree.search(df, df, 10).orderBy("query_id").collect()]
     assert got == [(0, 1, 6, 0.5), (6, 1, 0, 0.5)]
     assert vptree.search(df.where("false"), df.where("false")).count() == 0
+
+
+def test_cells_far_away_are_not_visited(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(100 * (i % 6), 0.1, 4)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = df.where("vec_id % 50 = 0")
+    assert sorted(map(tuple, vptree.search(df, queries, 5, shard_rows=30, block_rows=3).collect())) == brute(rows, [r for r in rows if r[0] % 50 == 0], 5)
+
+
+def test_repeated_ids(spark):
+    rows = [(1, [1.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 2.0]), (3, [9.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in vptree.search(df, df.where("vec_id = 1"), 10).orderBy("rank").collect()]
+    assert got == [(1, 1, 2, 1.0), (1, 2, 3, 8.0)]
