@@ -9,16 +9,18 @@ text's length, each both standardised and cut into bins.  The score is
 whose right-hand sum is every pairwise interaction <v_i, v_j> x_i x_j in time
 linear in the number of words.
 
-No metadata column is read: the length is counted from the text.
+Metadata are numeric columns named by the caller (``metadata``): each adds its
+signed logarithm and whether it is missing (null or not finite) to the statistics.
 
 The model is fitted on a bounded sample: ``sample_rows`` labelled rows with the
 least ``xxhash64(id)``, the same ones on every run.  Only their vectors reach
-the driver.  Everything is scored, in one pass without a shuffle; the broadcast
+the driver, one for each id and label and never more than ``2**HASH_BITS`` places each.  Everything is scored, in one pass without a shuffle; the broadcast
 model has a fixed size of ``(2**HASH_BITS + bins) x (RANK + 1)`` floats.
 
 Edge cases: a null text counts as empty and is scored from its structure alone;
 null labels are not learned from; with no labelled row every score is the prior
-0.5; labels repeated for one id count once each way they are given; repeated
+0.5; labels repeated for one id count once each way they are given; of rows that
+repeat an id with different texts one is learned from, chosen by a hash; repeated
 rows are scored alike; other columns are not read, whatever their names.
 """
 
@@ -41,7 +43,6 @@ BINS = 12
 STATS = 16
 
 _PLACES = 1 << HASH_BITS
-SIZE = _PLACES + STATS * (BINS + 1)
 
 
 @dataclass
@@ -54,6 +55,12 @@ class Model:
     mean: np.ndarray
     spread: np.ndarray
     cuts: np.ndarray
+    metadata: tuple[str, ...] = ()
+
+
+def size_of(stats: int) -> int:
+    """Places of words, of ``stats`` statistics and of their bins."""
+    return _PLACES + stats * (BINS + 1)
 
 
 def _class(test) -> np.ndarray:
@@ -94,14 +101,26 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row, (key & np.uint64(_PLACES - 1)).astype(np.int32), value.astype(np.float32), stats
 
 
+def _with_metadata(stats: np.ndarray, batch: pa.RecordBatch, metadata: tuple[str, ...]) -> np.ndarray:
+    """The statistics with two columns for each of metadata: signed logarithm (0 where missing), and whether it is missing."""
+    more = []
+    for i in range(len(metadata)):
+        x = batch.column(f"m{i}").to_numpy(zero_copy_only=False).astype(float)
+        gone = ~np.isfinite(x)
+        x = np.where(gone, 0, x)
+        more += [np.sign(x) * np.log1p(np.abs(x)), gone.astype(float)]
+    return np.column_stack([stats, *more])
+
+
 def _with_stats(m: Model, n: int, row: np.ndarray, place: np.ndarray, value: np.ndarray, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sparse rows, ordered by document, with standardised and cut statistics added."""
+    many = stats.shape[1]
     z = np.clip((stats - m.mean) / m.spread, -4, 4) * 0.25
     cut = (stats[:, :, None] > m.cuts[None]).sum(2)
-    j = np.arange(STATS)
-    rows = np.repeat(np.arange(n), 2 * STATS)
-    places = np.concatenate([np.broadcast_to(_PLACES + j, (n, STATS)), _PLACES + STATS + j * BINS + cut], axis=1).ravel()
-    values = np.concatenate([z, np.full((n, STATS), 0.35)], axis=1).ravel()
+    j = np.arange(many)
+    rows = np.repeat(np.arange(n), 2 * many)
+    places = np.concatenate([np.broadcast_to(_PLACES + j, (n, many)), _PLACES + many + j * BINS + cut], axis=1).ravel()
+    values = np.concatenate([z, np.full((n, many), 0.35)], axis=1).ravel()
     rows, places, values = np.concatenate([row, rows]), np.concatenate([place, places]), np.concatenate([value, values])
     order = np.argsort(rows, kind="stable")
     return rows[order], places[order], values[order].astype(np.float32)
@@ -116,38 +135,45 @@ def _scores(m: Model, n: int, row: np.ndarray, place: np.ndarray, value: np.ndar
     return 1 / (1 + np.exp(-np.clip(m.bias + linear + 0.5 * (s * s - q).sum(1), -30, 30)))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        row, place, value, stats = vectors(*flat(batch.column("text")))
-        at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "id": batch.column("id"),
-                "label": batch.column("label"),
-                "place": pa.ListArray.from_arrays(pa.array(at), pa.array(place)),
-                "value": pa.ListArray.from_arrays(pa.array(at), pa.array(value)),
-                "stats": pa.ListArray.from_arrays(pa.array(np.arange(0, stats.size + 1, STATS, dtype=np.int32)), pa.array(stats.ravel())),
-            }
-        )
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, epochs: int = 6, seed: int = 7) -> Model | None:
+def _features(metadata: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            row, place, value, stats = vectors(*flat(batch.column("text")))
+            stats = _with_metadata(stats, batch, metadata)
+            at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "id": batch.column("id"),
+                    "label": batch.column("label"),
+                    "place": pa.ListArray.from_arrays(pa.array(at), pa.array(place)),
+                    "value": pa.ListArray.from_arrays(pa.array(at), pa.array(value)),
+                    "stats": pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * stats.shape[1]), pa.array(stats.ravel())),
+                }
+            )
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS, epochs: int = 6, seed: int = 7) -> Model | None:
     """Fit on at most ``sample_rows`` rows of ``labels`` whose label is 0 or 1; None if there is none."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
     chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows)  # at most sample_rows pairs of numbers
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    table = texts.join(F.broadcast(chosen), "id").mapInArrow(_features, "id long, label int, place array<int>, value array<float>, stats array<double>").toArrow()
+    told = F.struct(F.col(text_col).alias("text"), *[F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(metadata)])
+    found = docs.select(F.col(id_col).cast("long").alias("id"), told.alias("told")).join(F.broadcast(chosen), "id")
+    one = found.groupBy("id", "label").agg(F.min_by("told", F.xxhash64("told")).alias("told")).select("id", "label", "told.*")
+    table = one.mapInArrow(_features(metadata), "id long, label int, place array<int>, value array<float>, stats array<double>").toArrow()
     if not table.num_rows:
         return None
     table = table.combine_chunks().sort_by([("id", "ascending"), ("label", "ascending")]).combine_chunks()
     place, value = (table.column(c).combine_chunks() for c in ("place", "value"))
     n = table.num_rows
-    stats = table.column("stats").combine_chunks().flatten().to_numpy().reshape(n, STATS)
+    stats = table.column("stats").combine_chunks().flatten().to_numpy().reshape(n, -1)
     row = np.repeat(np.arange(n), place.value_lengths().to_numpy())
     y = table.column("label").to_numpy().astype(np.float32)
     rng = np.random.default_rng(seed)
     cuts = np.quantile(stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-    m = Model(0.0, np.zeros(SIZE, np.float32), rng.normal(0, 0.02, (SIZE, RANK)).astype(np.float32), stats.mean(0), stats.std(0) + 1e-6, cuts)
+    size = size_of(stats.shape[1])
+    m = Model(0.0, np.zeros(size, np.float32), rng.normal(0, 0.02, (size, RANK)).astype(np.float32), stats.mean(0), stats.std(0) + 1e-6, cuts, tuple(metadata))
     rate = min(max(float(y.mean()), 0.01), 0.99)
     m.bias = float(np.log(rate / (1 - rate)))
     row, place, value = _with_stats(m, n, row, place.flatten().to_numpy(), value.flatten().to_numpy(), stats)
@@ -159,7 +185,7 @@ def _train(m: Model, row: np.ndarray, place: np.ndarray, value: np.ndarray, y: n
     """Adagrad on the logistic loss, in mini-batches of whole documents."""
     n = len(y)
     first = np.searchsorted(row, np.arange(n + 1))
-    gw, gv, gb = np.full(SIZE, 1e-4, np.float32), np.full((SIZE, RANK), 1e-4, np.float32), 1e-4
+    gw, gv, gb = np.full(m.weight.shape, 1e-4, np.float32), np.full(m.factor.shape, 1e-4, np.float32), 1e-4
     for _ in range(epochs):
         order = rng.permutation(n)
         for a in range(0, n, batch):
@@ -189,7 +215,8 @@ def _train(m: Model, row: np.ndarray, place: np.ndarray, value: np.ndarray, y: n
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``doc_id``, ``score`` and ``predicted`` (1 if the score reaches ``threshold``)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    metadata = [] if model is None else model.metadata
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(metadata)])
     if model is None:
         return rows.select("doc_id", F.lit(0.5).alias("score"), F.lit(int(threshold <= 0.5)).alias("predicted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -198,6 +225,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         m = shared.value
         for batch in slices(batches, "text"):
             row, place, value, stats = vectors(*flat(batch.column("text")))
+            stats = _with_metadata(stats, batch, m.metadata)
             p = _scores(m, batch.num_rows, *_with_stats(m, batch.num_rows, row, place, value, stats)).astype(float)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": p, "predicted": (p >= threshold).astype(np.int32)})
 

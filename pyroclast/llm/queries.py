@@ -46,7 +46,7 @@ def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of each document; every fifth fold of ids is held out from learning."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality.fit(docs, labels.where(_fold("doc_id", 5) != 0))
+    model = quality.fit(docs, labels.where(_fold("doc_id", 5) != 0), metadata=("n_chars",))
     found = quality.score(docs, model, threshold=0.3)
     return found.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
