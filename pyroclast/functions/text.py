@@ -11,6 +11,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -23,29 +24,34 @@ from pyroclast.functions import numerals
 NUMERAL = "[零〇一二兩三四五六七八九十百千0-9０-９]+"
 
 
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used: a one-element transform names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _adjacent(parts: Column, between: str = "") -> Column:
+    """Each part with the next one."""
+    pairs = lambda x: F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: F.concat(a, F.lit(between), b))
+    return named(parts, lambda x: F.when(F.size(x) > 1, pairs(x)).otherwise(F.array().cast("array<string>")))
+
+
 def bigrams(text: Column) -> Column:
     """Adjacent characters, with repeats."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    pairs = F.zip_with(F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
-    return F.when(F.size(chars) > 1, pairs).otherwise(F.array().cast("array<string>"))
+    return _adjacent(F.filter(F.split(text, ""), lambda c: c != ""))
 
 
 def word_pairs(text: Column) -> Column:
     """Distinct pairs of adjacent lower-case words."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(_adjacent(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " "))
 
 
-def drop_unknown(text: Column, known: Column) -> Column:
+def drop_unknown(text: Column, hits: Column) -> Column:
     """Runs of two and more characters that no known bigram covers become a blank.
 
-    ``known`` is an array of bigrams.  Single characters stay, and the whole text
-    stays if nothing would be left.
+    ``hits`` tells for each bigram of the text whether it is known.  Single
+    characters stay, and the whole text stays if nothing would be left.
     """
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    pairs = bigrams(text)
-    hits = F.transform(pairs, lambda p: F.array_contains(known, p))
     covered = F.transform(chars, lambda c, i: F.coalesce(F.get(hits, i), F.lit(False)) | F.coalesce(F.get(hits, i - 1), F.lit(False)))
     # Covered characters are kept as they are; the others are marked with a noncharacter first.
     marked = F.array_join(F.zip_with(chars, covered, lambda c, k: F.when(k, c).otherwise(F.concat(F.lit("\ufdd0"), c))), "")
@@ -96,6 +102,30 @@ def occupancy_code(text: Column) -> Column:
     return F.when(text.rlike(pattern), F.concat(F.regexp_extract(text, pattern, 1), F.lit("-"), number))
 
 
+def detect_places(text: Column, terms: dict[str, list[str]], codes: list[str]) -> Column:
+    """Struct of occupancy ``codes`` that a question is about, sorted, and the ``rest`` of it without the places' words.
+
+    Words of places go longest first; 甲、乙類場所 stands for all codes of these classes.
+    """
+    none = F.array().cast("array<string>")
+    longest = sorted(terms, key=lambda t: (-len(t), t))
+    words = F.array(*[F.struct(F.lit(t).alias("t"), F.array(*[F.lit(c) for c in sorted(terms[t])]).alias("c")) for t in longest])
+
+    def take(state: Column, word: Column) -> Column:
+        there = F.contains(state["rest"], word["t"])
+        return F.struct(F.when(there, F.concat(state["codes"], word["c"])).otherwise(state["codes"]).alias("codes"), F.when(there, F.replace(state["rest"], word["t"], F.lit(" "))).otherwise(state["rest"]).alias("rest"))
+
+    start = F.struct(none.alias("codes"), text.alias("rest"))
+    found = F.aggregate(words, start, take) if longest else start
+    return named(found, lambda s: F.struct(F.array_sort(F.array_union(s["codes"], class_codes(text, codes))).alias("codes"), s["rest"].alias("rest")))
+
+
+def class_codes(text: Column, codes: list[str]) -> Column:
+    """The codes of all classes that a text names as 甲類場所 or 乙、丙類場所."""
+    named_classes = F.array_join(F.regexp_extract_all(text, F.lit("([甲乙丙丁戊](?:[、及或][甲乙丙丁戊])*)類場所"), 1), "")
+    return F.filter(F.array(*[F.lit(c) for c in codes]).cast("array<string>"), lambda c: F.contains(named_classes, F.substring(c, 1, 1)))
+
+
 def citation(short: Column, article: Column, path: Column, many_paragraphs: Column) -> Column:
     """Short name, 第N條之M and 項/款/目/細目 of a path; zeros are skipped, and 第1項 where an article has one paragraph."""
     main = F.regexp_replace(F.concat(F.lit("第"), article, F.lit("條")), r"第(\d+)-(\d+)條", "第$1條之$2")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pyroclast.functions import numerals
+from pyroclast.functions import text as text_functions
 
 #: Levels of a unit by the marker its line begins with, the outermost first.
 MARKERS = [("item", r"^\s*([一二三四五六七八九十]+)、"), ("subitem", r"^\s*[（(]([一二三四五六七八九十]+)[）)]"), ("subsubitem", r"^\s*(\d+)[.．]")]
@@ -131,3 +132,13 @@ def resolve_references(nodes: DataFrame, ids: DataFrame, text: str = "text") ->
     each = rows.select("src", "ord", F.posexplode("candidates").alias("choice", "target"))
     exists = each.join(ids.select(F.col("node").alias("target")).distinct(), "target").groupBy("src", "ord").agg(F.min_by("target", "choice").alias("target"))
     return rows.select("src", "ord", "raw").join(exists, ["src", "ord"], "left").withColumn("resolved", F.col("target").isNotNull())
+
+
+def occupancy_tags(nodes: DataFrame, references: DataFrame, codes: DataFrame, known: list[str]) -> DataFrame:
+    """Sorted occupancy ``codes`` of each node that has any (H10): of the points it refers to, and of classes that its text names.
+
+    ``nodes``: node, text; ``references``: node, target; ``codes``: target, code (a whole class is one row for each of its codes).
+    """
+    referred = references.join(codes, "target").select("node", "code")
+    named = nodes.select("node", F.explode(text_functions.class_codes(F.col("text"), known)).alias("code"))
+    return referred.unionByName(named).groupBy("node").agg(F.array_sort(F.collect_set("code")).alias("codes"))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pyroclast.functions.text import word_pairs
+from pyroclast.functions.text import bigrams, word_pairs
 
 # The constant of reciprocal-rank fusion and the routes' weights.
 RRF_K = 60
@@ -32,10 +32,17 @@ def keyword_route(index: DataFrame, questions: DataFrame, k: int = 20, route: st
 
     ``questions`` has qid and text; ``at_least`` is the share of terms a node must have.
     """
+    return best_hits(keyword_hits(index, questions), k, route, at_least)
+
+
+def keyword_hits(index: DataFrame, questions: DataFrame) -> DataFrame:
+    """How many of the terms that a question wants each node has; several routes may rank them."""
     terms = questions.select("qid", word_pairs(F.col("text")).alias("terms")).select("qid", F.size("terms").alias("wanted"), F.explode("terms").alias("term"))
-    hits = terms.join(index, "term").groupBy("qid", "node").agg(F.count("*").alias("matched"), F.first("wanted").alias("wanted"))
-    hits = hits.where(F.col("matched") >= F.col("wanted") * at_least)
-    return ranked(hits, route, k, F.desc("matched"), F.col("node"))
+    return terms.join(index, "term").groupBy("qid", "node").agg(F.count("*").alias("matched"), F.first("wanted").alias("wanted"))
+
+
+def best_hits(hits: DataFrame, k: int = 20, route: str = "keyword", at_least: float = 0.0) -> DataFrame:
+    return ranked(hits.where(F.col("matched") >= F.col("wanted") * at_least), route, k, F.desc("matched"), F.col("node"))
 
 
 def ranked(hits: DataFrame, route: str, k: int, *order: Column) -> DataFrame:
@@ -44,20 +51,44 @@ def ranked(hits: DataFrame, route: str, k: int, *order: Column) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", F.lit(route).alias("route"), "rank", "node")
 
 
+def dot(x: Column, y: Column) -> Column:
+    """Inner product in double precision."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors in double precision; null if one has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return _cosine(a, b, F.sqrt(dot(a, a)), F.sqrt(dot(b, b)))
+
+
+def _cosine(a: Column, b: Column, length_a: Column, length_b: Column) -> Column:
+    norm = length_a * length_b
     return F.when(norm > 0, dot(a, b) / norm)
 
 
 def vector_route(vectors: DataFrame, questions: DataFrame, k: int = 20) -> DataFrame:
     """Nodes by cosine among those that share the question's filter.
 
-    ``vectors`` has node, filter and vector; ``questions`` qid, filter and vector.
+    ``vectors`` has node, filter and vector; ``questions`` qid, filter and vector.  Lengths are computed once a vector.
+    """
+    length = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    asked = questions.select("qid", "filter", F.col("vector").alias("q"), length("vector").alias("q_length"))
+    pairs = asked.join(vectors.select("node", "filter", "vector", length("vector").alias("length")), "filter")
+    score = _cosine(F.col("q"), F.col("vector"), F.col("q_length"), F.col("length"))
+    return ranked(pairs.select("qid", "node", score.alias("score")), "vector", k, F.desc("score"), F.col("node"))
+
+
+def known_pairs(texts: DataFrame, text: str, known: DataFrame) -> DataFrame:
+    """``texts`` with an array ``hits``: for each bigram of the text whether ``known`` (bigram) has it.
+
+    The vocabulary may be of any size: bigrams meet it in a join, each distinct text once.
     """
-    pairs = questions.select("qid", "filter", F.col("vector").alias("__q")).join(vectors.select("node", "filter", "vector"), "filter")
-    return ranked(pairs.withColumn("score", cosine(F.col("__q"), F.col("vector"))), "vector", k, F.desc("score"), F.col("node"))
+    distinct = texts.select(text).distinct()
+    places = distinct.select(text, F.posexplode(bigrams(F.col(text))).alias("i", "bigram"))
+    met = places.join(known.select("bigram").distinct(), "bigram", "left_semi").groupBy(text).agg(F.collect_set("i").alias("at"))
+    none = F.array().cast("array<int>")
+    hits = F.transform(bigrams(F.col(text)), lambda _, i: F.array_contains(F.coalesce("at", none), i.cast("int")))
+    return texts.join(met, text, "left").withColumn("hits", hits).drop("at")
 
 
 def fuse(routes: list[DataFrame], pinned: DataFrame | None = None, k: int = 10, weights: dict[str, float] | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ size.  Cells are 0.2 m unless said otherwise.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -128,10 +129,15 @@ def greedy_nearest(items: DataFrame, places: DataFrame, group: str, radius: floa
 
 
 def displacement_pairs(a: DataFrame, b: DataFrame, cell: float, ratio: float) -> DataFrame:
-    """Anchor pairs of one kind with areas alike, and the cell of their displacement (C20)."""
-    left = a.select("sheet", "kind", F.col("anchor").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("area").alias("aa"))
-    right = b.select("sheet", "kind", F.col("anchor").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("area").alias("ba"))
-    pairs = left.join(right, ["sheet", "kind"]).where(F.least("aa", "ba") >= F.greatest("aa", "ba") * ratio)
+    """Anchor pairs of one kind with areas alike, and the cell of their displacement (C20).
+
+    Areas alike are in the same band of the logarithm or in the next, so anchors of other bands never meet.
+    """
+    size = F.floor(F.ln("area") / -math.log(ratio)) if ratio < 1 else F.col("area")
+    band = F.when(F.col("area") > 0, size.cast("double"))
+    left = a.select("sheet", "kind", F.explode(F.array(band, band - 1, band + 1) if ratio < 1 else F.array(band)).alias("band"), F.col("anchor").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("area").alias("aa"))
+    right = b.select("sheet", "kind", band.alias("band"), F.col("anchor").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("area").alias("ba"))
+    pairs = left.join(right, ["sheet", "kind", "band"]).where(F.least("aa", "ba") >= F.greatest("aa", "ba") * ratio)
     return pairs.select("sheet", "a", "b", *[F.floor((F.col(f"b{k}") - F.col(f"a{k}")) / cell).cast("long").alias(f"d{k}") for k in "xy"])
 
 

@@ -81,13 +81,14 @@ def vector_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
 """
 )
 def fused_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """Keyword, strict keyword, vector and pinned routes fused for every question."""
+    """Keyword, strict keyword, vector and pinned routes fused for every question."""
     asked = _questions(spark, sf)
     index = retrieval.postings(table(spark, sf, "documents"), "doc_id", "text")
-    strict = retrieval.keyword_route(index, asked, 1_000_000, "keyword_last", 0.5)
+    hits = retrieval.keyword_hits(index, asked)  # ranked by two routes; the plan computes it once
+    strict = retrieval.best_hits(hits, 1_000_000, "keyword_last", 0.5)
     pinned = strict.where(F.col("node") % 10 == F.col("qid") % 10)
     pinned = retrieval.ranked(pinned, "direct", 3, F.col("node")).select("qid", (F.col("rank") - 1).alias("ord"), "node")
-    routes = [retrieval.keyword_route(index, asked), strict.where("rank <= 20"), vector_topk_filtered(spark, sf)]
+    routes = [retrieval.best_hits(hits), strict.where("rank <= 20"), vector_topk_filtered(spark, sf)]
     return retrieval.fuse(routes, pinned).withColumn("routes", F.array_join(F.array_sort("routes"), ","))
 
 
@@ -131,8 +132,9 @@ def unknown_fragments(spark: SparkSession, sf: str) -> DataFrame:
     """Stretches that no known bigram covers are blanked, single characters stay."""
     p = table(spark, sf, "part")
     names = p.where("p_size > 10").select("p_name").distinct()
-    known = names.select(F.explode(T.bigrams(F.col("p_name"))).alias("b")).agg(F.collect_set("b").alias("known"))
-    return p.select("p_type").distinct().join(F.broadcast(known)).select("p_type", T.drop_unknown(F.lower("p_type"), F.col("known")).alias("kept"))
+    known = names.select(F.explode(T.bigrams(F.col("p_name"))).alias("bigram"))
+    types = retrieval.known_pairs(p.select("p_type", F.lower("p_type").alias("text")).distinct(), "text", known)
+    return types.select("p_type", T.drop_unknown(F.col("text"), F.col("hits")).alias("kept"))
 
 
 @query("""
@@ -354,3 +356,30 @@ def html_block_parse(spark: SparkSession, sf: str) -> DataFrame:
     h = F.col("html")
     links = F.array_distinct(F.regexp_extract_all(h, F.lit('href="([^"]*)"'), 1))
     return table(spark, sf, "pages").select("page_id", F.size(F.regexp_extract_all(h, F.lit("<p[ >]"), 0)).cast("long").alias("paragraphs"), F.regexp_extract(h, "<title>([^<]*)</title>", 1).alias("title"), F.size(links).cast("long").alias("links"))
+
+
+_PLACES = {"KTV": ["甲-1"], "視聽歌唱場所": ["甲-1"], "旅館": ["甲-3"], "旅館商場": ["甲-3", "甲-4"], "倉庫": ["乙-11"]}
+_CODES = ["甲-1", "甲-3", "甲-4", "乙-11", "丙-1"]
+
+
+@query("""
+    SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '甲-1' WHEN 1 THEN '甲-3,甲-4' WHEN 2 THEN '丙-1,乙-11' ELSE '' END AS codes, ['  要滅火器', '  要滅火器', '乙、丙類場所 要滅火器', '辦公室 要滅火器'][p_partkey % 4 + 1] AS rest FROM part
+""")
+def place_detection(spark: SparkSession, sf: str) -> DataFrame:
+    """Occupancy codes that a question is about, and the rest of it."""
+    place = F.element_at(F.array(*[F.lit(x) for x in ("KTV", "旅館商場", "乙、丙類場所", "辦公室")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    found = T.detect_places(F.concat(place, F.lit(" 要滅火器")), _PLACES, _CODES)
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), found.alias("f")).select("id", F.array_join("f.codes", ",").alias("codes"), "f.rest")
+
+
+@query("""
+    SELECT p_partkey AS node, CASE WHEN p_partkey % 3 = 0 THEN '丙-1,乙-11' ELSE '' END || CASE WHEN p_partkey % 3 = 0 AND p_size % 2 = 0 THEN ',' ELSE '' END || CASE WHEN p_size % 2 = 0 THEN '甲-' || (p_partkey % 5) ELSE '' END AS codes
+    FROM part WHERE p_partkey % 3 = 0 OR p_size % 2 = 0
+""")
+def occupancy_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """Occupancy codes of nodes, by what they refer to and by classes that their text names."""
+    p = table(spark, sf, "part")
+    nodes = p.select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") % 3 == 0, "乙、丙類場所應設").otherwise("應設").alias("text"))
+    refs = p.where("p_size % 2 = 0").select(F.col("p_partkey").alias("node"), F.concat(F.lit("L/12/1/1/"), F.col("p_partkey") % 5).alias("target"))
+    codes = spark.range(5).select(F.concat(F.lit("L/12/1/1/"), "id").alias("target"), F.concat(F.lit("甲-"), "id").alias("code"))
+    return hierarchy.occupancy_tags(nodes, refs, codes, _CODES).select("node", F.array_join("codes", ",").alias("codes"))
