@@ -75,7 +75,10 @@ def sliding_lockout_stream(spark: SparkSession, sf: str) -> DataFrame:
     return twins.run_available(twins.lockout(twins.parquet_stream(spark, sf, "events"), 3, 172_800))
 
 
-@query()
+@query("""
+    SELECT day, event_type, count(*) AS n FROM (SELECT (ts + INTERVAL 481 MINUTE)::DATE AS day, event_type, max(ts) OVER () AS newest FROM events)
+    WHERE day + INTERVAL 1 DAY - INTERVAL 481 MINUTE <= newest - INTERVAL 1 HOUR GROUP BY 1, 2
+""")
 def daily_counts_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Events by business day and type as a windowed stream; days before the watermark are final."""
     return twins.run_available(twins.daily_counts(twins.parquet_stream(spark, sf, "events")))
