@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where it is unset, as in tests, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = set_before.get() if set_before.isDefined() else tempfile.mkdtemp(prefix="pyroclast-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from pyroclast.sources.shared import fresh
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return it as read from the files, with its lineage cut.
 
     Lost executors cost nothing that was written; the rows are computed once
-    however many plans read them.
+    however many plans read them.  Results are read lazily, so nothing is deleted
+    here: the folder's owner empties it when the jobs that use it are done.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
