@@ -21,6 +21,30 @@ SEVERITY = ["RED", "ORANGE", "YELLOW", "BLUE"]
 HEIGHT_BANDS = [("lt4", 4), ("4to8", 8), ("8to15", 15), ("15to20", 20)]
 
 
+# What each requirement asks for, and the kinds of symbols that show it on plans.
+EQUIPMENT = {
+    "14": ("滅火器", ["extinguisher"]),
+    "15": ("室內消防栓設備", ["hydrant"]),
+    "16": ("室外消防栓設備", []),
+    "17": ("自動撒水設備", ["sprinkler"]),
+    "18": ("水霧、泡沫、二氧化碳、鹵化烴或乾粉滅火設備", []),
+    "19": ("火警自動警報設備", ["detector", "flame_detector"]),
+    "20": ("手動報警設備", ["manual_alarm"]),
+    "21": ("瓦斯漏氣火警自動警報設備", ["gas_detector"]),
+    "22": ("緊急廣播設備", ["speaker"]),
+    "23-1": ("出口標示燈", ["exit_sign"]),
+    "23-2": ("避難方向指示燈", ["direction_light"]),
+    "24": ("緊急照明設備", ["emergency_light"]),
+    "25": ("避難器具", []),
+    "26": ("連結送水管", ["standpipe_outlet"]),
+    "27": ("消防專用蓄水池", []),
+    "28": ("排煙設備", ["smoke_vent"]),
+    "29": ("緊急電源插座", ["emergency_outlet"]),
+    "30": ("無線電通信輔助設備", []),
+    "30-1": ("防災監控系統綜合操作裝置", []),
+}
+
+
 def verdict(fails_lenient: Column, fails_strict: Column, marginal: Column | None = None) -> Column:
     """RED if even the lenient reading fails (ORANGE if marginal), YELLOW if only the strict one does; null if none."""
     red = F.when(F.coalesce(marginal, F.lit(False)), "ORANGE").otherwise("RED") if marginal is not None else F.lit("RED")
@@ -88,8 +112,8 @@ def _is(*codes: str) -> Column:
     return F.coalesce(F.col("occupancy").isin(*codes) | F.col("cls").isin(*codes), F.lit(False))
 
 
-def requirement_clauses() -> dict[str, tuple[dict[str, Column], Column]]:
-    """For each requirement its clauses by name, and the condition under which it stays unknown.
+def requirement_clauses() -> dict[str, tuple[dict[str, Column], dict[str, Column]]]:
+    """For each requirement its clauses by name, and by what is missing the condition under which it stays unknown.
 
     Areas are square metres, heights metres; all thresholds are fixed values of the regulation.
     """
@@ -111,9 +135,11 @@ def requirement_clauses() -> dict[str, tuple[dict[str, Column], Column]]:
     }
     gas = {"21/1/1": _is("甲") & (c("basement_area") >= 1000), "21/1/3": under}
     any_of = lambda d: reduce(Column.__or__, map(yes, d.values()))
+    occupancy, stories, uses = {"occupancy": no_class}, {"stories": no_stories}, {"areas by use": mixed}
+    always = lambda what: {what: F.lit(True)}
     signs = {"23/1": _is("甲", "乙-12", "戊-1", "戊-3") | (c("special_floors") > 0)}
     return {
-        "14": ({"14/1/1": _is("甲", "戊-1", "戊-3", "乙-12"), "14/1/2": _is("乙", "丙", "丁") & (c("total_area") >= 150), "14/1/3": c("max_special") >= 50, "14/1/4": c("has_electrical"), "14/1/5": c("has_kitchen")}, no_class | _is("戊")),
+        "14": ({"14/1/1": _is("甲", "戊-1", "戊-3", "乙-12"), "14/1/2": _is("乙", "丙", "丁") & (c("total_area") >= 150), "14/1/3": c("max_special") >= 50, "14/1/4": c("has_electrical"), "14/1/5": c("has_kitchen")}, occupancy | {"areas by use": _is("戊")}),
         "15": (
             {
                 "15/1/1": low & _is("甲", "乙", "丙", "丁") & ~school & (c("max_above") >= room_limit),
@@ -121,9 +147,9 @@ def requirement_clauses() -> dict[str, tuple[dict[str, Column], Column]]:
                 "15/1/3": _is("戊-3") & (c("total_area") >= 150),
                 "15/1/4": _is("甲", "乙", "丙", "丁") & (c("max_special") >= F.when(_is("甲-1"), 100).otherwise(150)),
             },
-            no_class | mixed | (low & school) | no_stories,
+            occupancy | uses | stories | {"whether a school's class room": low & school},
         ),
-        "16": ({"16/1": F.when(_is("丁-1"), c("lower_area") >= 3000).when(_is("丁-2"), c("lower_area") >= 5000).when(_is("丁-3"), c("lower_area") >= 10000)}, no_class),
+        "16": ({"16/1": F.when(_is("丁-1"), c("lower_area") >= 3000).when(_is("丁-2"), c("lower_area") >= 5000).when(_is("丁-3"), c("lower_area") >= 10000)}, occupancy),
         "17": (
             {
                 "17/1/1": st.between(1, 10) & F.when(_is("甲-1"), c("above_area") >= 300).otherwise(_is("甲", "乙-1") & (c("max_above") >= 1500)),
@@ -134,37 +160,44 @@ def requirement_clauses() -> dict[str, tuple[dict[str, Column], Column]]:
                 "17/1/7": under,
                 "17/1/8": c("high_rise"),
             },
-            no_class | c("high_rise").isNull() | mixed | no_stories | (_is("乙-11") & (c("max_not_tall") >= 700)),
+            occupancy | uses | stories | {"height": c("high_rise").isNull(), "height of stores": _is("乙-11") & (c("max_not_tall") >= 700)},
         ),
-        "19": (alarm, no_class | mixed | no_stories),
-        "20": ({"20/1/1": (st >= 3) & (c("max_floor") >= 200), "20/1/2": _is("甲-3")}, no_stories | no_class),
-        "21": (gas, _is("戊-1") & (c("basement_area") >= 1000)),
-        "22": ({"22/1": any_of(alarm) | any_of(gas)}, no_class | mixed | no_stories),
-        "23-1": (signs, no_class),
-        "23-2": (signs, no_class),
-        "24": ({"24/1/1": _is("甲", "丙", "戊"), "24/1/2": _is("乙-1", "乙-2", "乙-4", "乙-5", "乙-6", "乙-8", "乙-9", "乙-12"), "24/1/3": ~_is("乙-3") & (c("total_area") >= 1000)}, F.lit(True)),
-        "25": ({"25": F.lit(False)}, F.lit(True)),
-        "26": ({"26/1/1": (st >= 7) | (st.isin(5, 6) & (c("total_area") >= 6000)), "26/1/2": under}, no_stories),
+        "18": ({"18/1": F.lit(False)}, always("uses and areas of rooms")),
+        "19": (alarm, occupancy | uses | stories),
+        "20": ({"20/1/1": (st >= 3) & (c("max_floor") >= 200), "20/1/2": _is("甲-3")}, occupancy | stories),
+        "21": (gas, {"areas by use": _is("戊-1") & (c("basement_area") >= 1000)}),
+        "22": ({"22/1": any_of(alarm) | any_of(gas)}, occupancy | uses | stories),
+        "23-1": (signs, occupancy),
+        "23-2": (signs, occupancy),
+        "24": ({"24/1/1": _is("甲", "丙", "戊"), "24/1/2": _is("乙-1", "乙-2", "乙-4", "乙-5", "乙-6", "乙-8", "乙-9", "乙-12"), "24/1/3": ~_is("乙-3") & (c("total_area") >= 1000)}, always("uses and areas of rooms")),
+        "25": ({"25": F.lit(False)}, always("places and persons of each floor")),
+        "26": ({"26/1/1": (st >= 7) | (st.isin(5, 6) & (c("total_area") >= 6000)), "26/1/2": under}, stories),
         "27": (
             {"27/1/1": (c("site_area") >= 20000) & (c("max_floor") >= 1500), "27/1/2": (c("height") > 31) & (c("total_area") >= 25000)},
-            (c("site_area").isNull() & (c("max_floor") >= 1500)) | (c("height").isNull() & (c("total_area") >= 25000)),
+            {"site area": c("site_area").isNull() & (c("max_floor") >= 1500), "height": c("height").isNull() & (c("total_area") >= 25000)},
         ),
-        "28": ({"28/1/1": _is("甲", "戊-3") & (c("total_area") >= 500), "28/1/3": c("max_closed") >= 1000}, c("big_rooms") | no_class),
-        "29": ({"29/1/1": st >= 11, "29/1/2": under}, F.lit(False)),
-        "30": ({"30/1/1": (c("basements") > 0) & (c("height") >= 100), "30/1/2": under, "30/1/3": (c("basements") >= 4) & (c("basement_area") >= 3000)}, (c("basements") > 0) & c("height").isNull()),
-        "30-1": ({"30-1/1": yes(c("high_rise")) | (c("total_area") >= 50000) | under}, c("high_rise").isNull()),
+        "28": ({"28/1/1": _is("甲", "戊-3") & (c("total_area") >= 500), "28/1/3": c("max_closed") >= 1000}, occupancy | {"openings of large rooms": c("big_rooms")}),
+        "29": ({"29/1/1": st >= 11, "29/1/2": under}, {}),
+        "30": ({"30/1/1": (c("basements") > 0) & (c("height") >= 100), "30/1/2": under, "30/1/3": (c("basements") >= 4) & (c("basement_area") >= 3000)}, {"height": (c("basements") > 0) & c("height").isNull()}),
+        "30-1": ({"30-1/1": yes(c("high_rise")) | (c("total_area") >= 50000) | under}, {"height": c("high_rise").isNull()}),
     }
 
 
 def requirements(profiles: DataFrame) -> DataFrame:
-    """building, key, status and the clauses that apply: REQUIRED if any does, else UNKNOWN or NOT_REQUIRED."""
+    """building, key, status, equipment, kinds, the clauses that apply and the data that are missing.
+
+    REQUIRED if any clause applies; else UNKNOWN if data are missing that could make one apply, or NOT_REQUIRED.
+    """
     defaults = {"has_electrical": F.lit(False), "has_kitchen": F.lit(False), "big_rooms": F.lit(False)}
     rows = profiles.withColumns({k: v for k, v in defaults.items() if k not in profiles.columns})
     out = []
     for key, (clauses, unknown) in requirement_clauses().items():
-        law = F.filter(F.array(*[F.when(F.coalesce(x, F.lit(False)), n) for n, x in clauses.items()]), lambda x: x.isNotNull())
-        status = F.when(F.size(law) > 0, "REQUIRED").when(F.coalesce(unknown, F.lit(False)), "UNKNOWN").otherwise("NOT_REQUIRED")
-        out.append(F.struct(F.lit(key).alias("key"), status.alias("status"), law.alias("law")))
+        true = lambda named: F.filter(F.array(*[F.when(F.coalesce(x, F.lit(False)), n) for n, x in named.items()]).cast("array<string>"), lambda x: x.isNotNull())
+        law, missing = true(clauses), true(unknown)
+        status = F.when(F.size(law) > 0, "REQUIRED").when(F.size(missing) > 0, "UNKNOWN").otherwise("NOT_REQUIRED")
+        equipment, kinds = EQUIPMENT[key]
+        told = F.array(*[F.lit(k) for k in kinds]).cast("array<string>")
+        out.append(F.struct(F.lit(key).alias("key"), status.alias("status"), F.lit(equipment).alias("equipment"), told.alias("kinds"), law.alias("law"), missing.alias("missing")))
     return rows.select("building", F.inline(F.array(*out)))
 
 

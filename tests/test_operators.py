@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pyroclast.operators import boxtable, graph, hierarchy, relational, retrieval, rules, spatial, state
+from pyroclast.operators import boxtable, equipment, graph, hierarchy, relational, retrieval, rules, spatial, state
 
 
 def test_relational_edges(spark):
@@ -97,6 +97,23 @@ def test_graph(spark):
     assert got == {(1, 0): 0, (1, 1): 1, (1, 2): 2, (1, 3): 2, (1, 4): 4, (1, 5): 2, (2, 1): 1}
 
 
+def test_equipment(spark):
+    legend = ["室內消防栓", "排煙口", "閥"]
+    with pytest.raises(ValueError):
+        equipment.Dictionary(legend, [("^X", "沒有", {})])
+    dictionary = equipment.Dictionary(legend, [("^H-", "室內消防栓", {"hydrant_class": "1"})], [("VENT", "排煙口", {})])
+    rows = [
+        (1, 1, "H-1", "FP", 0.0, 0.0, {"種類": "第二種"}), (1, 2, "H-1", "FP", 0.04, 0.04, None), (1, 3, "H-1", "FP", 0.2, 0.0, None), (1, 4, "A$C", "P-VENT", 0.0, 0.0, {"SIZE": "60x50", "AREA": ""}),
+        (1, 5, "A$C", None, 9.0, 0.0, None), (1, 6, "閥", "FP", 0.0, 0.0, None), (1, 7, "H-1", "圖例", 5.0, 0.0, None), (2, 1, None, None, 0.0, 0.0, None),
+    ]
+    df = spark.createDataFrame(rows, "sheet int, ord int, name string, layer string, x double, y double, attribs map<string,string>")
+    found, unknown = equipment.recognise(df, dictionary)
+    got = {(r.sheet, r.ord): (r.legend, r.kinds, r.spec.hydrant_class, r.spec.open_area) for r in found.collect()}
+    assert got == {(1, 1): ("室內消防栓", ["hydrant"], "2", None), (1, 3): ("室內消防栓", ["hydrant"], "1", None), (1, 4): ("排煙口", ["smoke_vent"], None, 0.003)}
+    assert {(r.sheet, r.name): r.times for r in unknown.collect()} == {(1, "A$C"): 1, (2, None): 1}
+    assert equipment.recognise(df.where("false"), dictionary)[0].count() == 0
+
+
 def test_box_tables():
     good = ["┌──┬──┐", "│a   │b   │", "├──┼──┤", "│c   │d   │", "└──┴──┘"]
     assert boxtable.cells(good) == [(0, 0, 1, 1, "a"), (0, 1, 1, 1, "b"), (1, 0, 1, 1, "c"), (1, 1, 1, 1, "d")]
@@ -127,7 +144,15 @@ def test_requirements(spark):
     assert got["15"] == ("UNKNOWN", [])
     got = _requirements(spark, [(f"{k}F", k, 90.0, False) for k in range(1, 13)], occupancy="丙-1", stories=12)
     assert got["17"][0] == got["30-1"][0] == "UNKNOWN" and got["29"][0] == "REQUIRED"
-    assert len(got) == len(rules.requirement_clauses())
+    assert len(got) == len(rules.requirement_clauses()) == len(rules.EQUIPMENT)
+
+
+def test_missing_data_are_named(spark):
+    b = spark.createDataFrame([(1, None, None, None, None, 0.0), (2, "丙-1", 12, None, 10.0, 0.0)], "building int, occupancy string, stories int, height double, site_area double, roof_area double")
+    f = spark.createDataFrame([(k, "1F", 1, 600.0, False) for k in (1, 2)], "building int, label string, level int, area double, no_opening boolean")
+    got = {(r.building, r.key): r for r in rules.requirements(rules.profile(b, f)).collect()}
+    assert got[1, "15"].missing == ["occupancy", "stories"] and got[2, "17"].missing == ["height"] and got[2, "29"].missing == []
+    assert got[2, "19"].kinds == ["detector", "flame_detector"] and got[2, "18"].status == "UNKNOWN"
 
 
 def test_high_warehouse(spark):
