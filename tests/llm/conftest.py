@@ -28,3 +28,9 @@ def words(text):
 
 def sha(x):
     return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+
+
+def thue_morse(size, letters="ab"):
+    """Two words of this size that any polynomial modulo a power of two takes for equal, if the size is large enough."""
+    bits = [bin(k).count("1") % 2 for k in range(size)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)

@@ -5,7 +5,7 @@ import pytest
 
 from pyroclast.llm import jaccard_join
 from pyroclast.llm.queries import op10_jaccard_join
-from tests.llm.conftest import ODD, words
+from tests.llm.conftest import ODD, thue_morse, words
 
 FOLDER = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -156,3 +156,18 @@ def test_near_copies_with_null_and_repeated_ids(spark):
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     assert sorted(map(tuple, op10_jaccard_join(spark, FOLDER).collect())) == brute(rows, 3, 90)
+
+
+def test_words_that_polynomials_confuse(spark):
+    one, two = thue_morse(2048)
+    rows = [(1, one), (2, two), (3, f"a b {one}"), (4, f"a b {two}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.link(df).collect())) == brute(rows, 3, 90)
+
+
+def test_hot_lists_are_counted_by_aggregates(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 2)
+    monkeypatch.setattr(jaccard_join, "ONE_IN", 1)
+    rows = near_copies(3, [8, 20, 40, 90])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, jaccard_join.link(df).collect())) == brute(rows, 3, 90)

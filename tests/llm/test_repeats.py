@@ -7,7 +7,7 @@ import pytest
 from pyroclast.llm import substring_dedup, suffix_dedup
 from pyroclast.llm.queries import op5_suffix_dedup, op6_substring_dedup
 from pyroclast.llm.repeats import SHARD, Shape
-from tests.llm.conftest import ODD, sha, words
+from tests.llm.conftest import ODD, sha, thue_morse, words
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -107,3 +107,48 @@ def test_queries_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     assert sorted(map(tuple, op6_substring_dedup(spark, FOLDER).collect())) == brute_words(rows, 35)
     assert sorted(map(tuple, op5_suffix_dedup(spark, FOLDER).collect())) == brute_bytes(rows, 200)
+
+
+def test_texts_that_polynomials_confuse(spark):
+    one, two = thue_morse(2048)
+    around = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join([*around[:20], w, *around[21:]])) for i, w in enumerate((one, two))] + [(2, one), (3, two)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substring_dedup.summary(df, 35).collect())) == brute_words(rows, 35)
+    assert sorted(map(tuple, suffix_dedup.summary(df, 200).collect())) == brute_bytes(rows, 200)
+
+
+def test_repeated_rows_and_long_texts(spark, monkeypatch):
+    """Rows that repeat id and text, and texts that are hashed in segments."""
+    from pyroclast.llm import repeats
+
+    rows = [*corpus(6, 30)] * 2 + [(77, " ".join(f"v{k % 700}" for k in range(2000))), (None, "a b c d e f g h i j k l m n"), (None, "a b c d e f g h i j k l m n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(repeats, "SEGMENT", 64)
+    monkeypatch.setattr(repeats, "STRETCH", 128)
+    order = lambda x: str(x)
+    assert sorted(map(tuple, substring_dedup.summary(df, 12, shard=8).collect()), key=order) == sorted(brute_words_of(rows, 12), key=order)
+
+
+def brute_words_of(rows, width):
+    units = [words(t) for _, t in rows]
+    return [(r[0], len(u), int(g.sum()), sha(" ".join(x for x, y in zip(u, g, strict=True) if not y))) for r, u, g in zip(rows, units, removed(units, width), strict=True)]
+
+
+def test_segments_cover_every_window_once(monkeypatch):
+    import pyarrow as pa
+
+    from pyroclast.llm import repeats
+    from pyroclast.llm.arrays import flat
+
+    texts = ["".join(random.Random(k).choice("abc") for _ in range(n)) for k, n in enumerate((400, 3, 0, 90, 250))]
+    batch = pa.record_batch({"key": pa.array(range(5), pa.int64()), "text": pa.array(texts)})
+    method, shape = repeats.Method(flat, suffix_dedup.values(4), 3, suffix_dedup.refine, np.dtype(np.uint8)), Shape(12, 4, 2)
+    rows = {}
+    for segment in (1 << 20, 50):
+        monkeypatch.setattr(repeats, "SEGMENT", segment)
+        out = pa.Table.from_batches(list(repeats._span_rows(method, shape)([batch]))).to_pylist()
+        windows = sorted((r["key"], r["at"] + k) for r in out for k in range(r["windows"]))
+        assert windows == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - 11)]
+        rows[segment] = {(r["key"], r["at"] + k): (r["gram"], r["at"] + r["anchor"]) for r in out for k in range(r["windows"])}
+    assert rows[50] == rows[1 << 20]

@@ -2,12 +2,15 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from pyroclast.llm import bpe, packing
+from pyroclast.llm.arrays import flat, same, word_hash, words
+from pyroclast.llm.wordcache import WordCache
 from pyroclast.llm.queries import op7_bpe_round_trip, op9_packing, tokenizer
-from tests.llm.conftest import ODD, sha
+from tests.llm.conftest import ODD, sha, thue_morse
 
 FOLDER = "/root/testdata/sf0.001"
 BYTE, WORD = tokenizer("byte_bpe_50k.json"), tokenizer("word_bpe_49k.json")
@@ -115,3 +118,34 @@ def test_follows_is_bpe():
 def test_edges(total):
     full, cuts = packing.edges(total, 2048)
     assert full == total // 2048 and cuts[0] == full * 2048 and cuts[-1] == total
+
+
+@pytest.mark.parametrize("size", [1024, 2048])
+def test_words_that_polynomials_confuse(size):
+    texts = [f"x {w} y" for w in thue_morse(size)]
+    for path, encode in ((BYTE, bpe.Vocabulary(BYTE).encode), (WORD, lambda d, o: packing.Tokens(WORD).encode(d, o, 1)[:2])):
+        ids, count = encode(*flat(pa.array(texts)))
+        want = [library(path).encode(t, add_special_tokens=False).ids + ([1] if path == WORD else []) for t in texts]
+        assert [p.tolist() for p in np.split(ids, np.cumsum(count)[:-1])] == want
+
+
+@pytest.mark.parametrize("hashed", [lambda d, a, b: np.zeros(len(a), np.uint64), lambda d, a, b: (b - a).astype(np.uint64)])
+def test_words_of_equal_hashes(hashed):
+    cache = WordCache(lambda raw: (np.array([x for w in raw for x in w], np.uint32), np.array([len(w) for w in raw], np.int64)), hashed=hashed)
+    for text in ("one two three one four", "five two " + "x" * 3000 + " " + "y" * 3000, "abcdefgh abcdefgi", "one"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        starts, ends, _ = words(data, np.array([0, len(data)]))
+        ids, count, _ = cache.tokens(data, starts, ends)
+        assert ids.tolist() == [b for w in text.encode().split() for b in w] and count.tolist() == [len(w) for w in text.split()]
+
+
+def test_word_hashes_and_comparison():
+    rng = random.Random(8)
+    pool = ["".join(rng.choice("ab") for _ in range(rng.choice([1, 3, 7, 8, 9, 16, 17, 1024, 1025, 1030]))) for _ in range(300)]
+    data = np.frombuffer(" ".join(pool).encode(), np.uint8)
+    starts, ends, _ = words(data, np.array([0, len(data)]))
+    h = word_hash(data, starts, ends)
+    assert len(set(h.tolist())) == len(set(pool)) and len(set(zip(h.tolist(), pool, strict=True))) == len(set(pool))
+    other = np.random.default_rng(1).permutation(len(pool))
+    size = np.minimum(ends - starts, (ends - starts)[other])
+    assert same(data, starts, data, starts[other], size).tolist() == [pool[i][:n] == pool[j][:n] for i, j, n in zip(range(len(pool)), other, size, strict=True)]
