@@ -6,8 +6,8 @@ Burrows-Wheeler transform of its contents, held in a wavelet tree (one packed bi
 vector for each bit of a word's number, with a count at every 64th bit).  The contents are
 then streamed against it by backward search: from each place where a window can
 end, words are taken in leftwards while at least two places match.  The length
-reached is that end's matching statistic, and statistics of the window's length
-or more give the passages that repeat.
+reached is that end's matching statistic (16 windows' length at most), and
+statistics of the window's length or more give the passages that repeat.
 
 Edge cases: null and empty texts, and texts with fewer words than a window, lose
 nothing; all rows count as places, copies and repeated rows included; windows
@@ -136,15 +136,30 @@ def match(data: np.ndarray, at: np.ndarray, shape: Shape) -> np.ndarray:
     windows = np.maximum(size - shape.width + 1, 0)
     row = np.repeat(np.arange(len(size)), windows)
     ends = ragged(start + shape.width, windows)
-    reach = Index(symbols).statistics(symbols, ends, ends - start[row])
-    # Statistics above the threshold cover all windows inside their stretch.
-    depth = np.zeros(len(row) + 1, np.int64)
-    first = np.cumsum(windows) - windows
-    k = np.arange(len(row))
-    yes = reach >= shape.width
-    np.add.at(depth, np.maximum(k[yes] - (reach[yes] - shape.width), first[row[yes]]), 1)
-    np.add.at(depth, k[yes] + 1, -1)
-    return np.cumsum(depth[:-1]) > 0
+    index, yes = Index(symbols), np.zeros(len(row), bool)
+    # A statistic above the threshold tells of all windows inside its stretch, so ends far apart are asked first,
+    # with statistics up to ``most``; what they leave open is asked at closer ends, at last at each.
+    waiting = np.arange(len(row))
+    for times in (16, 8, 4, 2, 1):
+        if not len(waiting):
+            break
+        most = times * shape.width
+        new = np.ones(len(waiting), bool)
+        new[1:] = (np.diff(waiting) > 1) | (row[waiting[1:]] != row[waiting[:-1]])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(waiting)) - 1
+        from_end = last[np.cumsum(new) - 1] - np.arange(len(waiting))
+        asked = waiting[from_end % (most - shape.width + 1) == 0]
+        reach = index.statistics(symbols, ends[asked], np.minimum(ends[asked] - start[row[asked]], most))
+        good = reach >= shape.width
+        depth = np.zeros(len(row) + 1, np.int64)
+        np.add.at(depth, asked[good] - (reach[good] - shape.width), 1)
+        np.add.at(depth, asked[good] + 1, -1)
+        yes |= np.cumsum(depth[:-1]) > 0
+        decided = yes.copy()
+        decided[asked] = True
+        waiting = waiting[~decided[waiting]]
+    return yes
 
 
 def _pieces(docs: DataFrame, width: int, shard: int, id_col: str, text_col: str) -> DataFrame:
