@@ -76,13 +76,27 @@ def alias_of(text: Column, aliases: dict[str, str]) -> Column:
     return reduce(lambda rest, a: F.when(F.contains(text, F.lit(a[0])), a[1]).otherwise(rest), reversed(longest), F.lit(None).cast("string"))
 
 
-def article_reference(text: Column) -> Column:
-    """The first 第N條(之M)(第P項)(第K款)(第L目) of a text as a struct of integers."""
-    part = lambda unit: f"(?:第({NUMERAL}){unit})?"
-    pattern = f"第({NUMERAL})條(?:之({NUMERAL}))?{part('項')}{part('款')}{part('目')}"
-    of = lambda g: numerals.to_int(F.nullif(F.regexp_extract(text, pattern, g), F.lit("")))
+def article_references(text: Column) -> Column:
+    """Every 第N條(之M)(第P項)(第K款)(第L目) and §N-M of a text in order, as structs of integers.
+
+    第 may be left out and blanks may stand between.
+    """
+    part = lambda unit: rf"(?:\s*第?\s*({NUMERAL})\s*{unit})?"
+    written = rf"(?:第\s*)?({NUMERAL})\s*條(?:之\s*({NUMERAL}))?{part('項')}{part('款')}{part('目')}"
+    section = r"§\s*(\d+)(?:-(\d+))?"
     names = ["article", "sub", "paragraph", "item", "point"]
-    return F.when(text.rlike(pattern), F.struct(*[of(i + 1).alias(n) for i, n in enumerate(names)]))
+
+    def read(found: Column) -> Column:
+        of = lambda pattern, g: numerals.to_int(F.nullif(F.regexp_extract(found, pattern, g), F.lit("")))
+        short = [F.coalesce(of(section, i + 1), of(written, i + 1)) if i < 2 else of(written, i + 1) for i in range(5)]
+        return F.struct(*[c.alias(n) for c, n in zip(short, names, strict=True)])
+
+    return F.transform(F.regexp_extract_all(text, F.lit(f"{written}|{section}"), 0), read)
+
+
+def article_reference(text: Column) -> Column:
+    """The first article that a text refers to; null without one."""
+    return F.get(article_references(text), F.lit(0))
 
 
 def article_candidates(pcode: Column, ref: Column) -> Column:
@@ -195,14 +209,21 @@ def unit_scale(unit: Column, code: Column) -> Column:
 
 # Nominal pipe sizes in millimetres and the inches that they stand for.
 PIPE_MM = [15, 20, 25, 32, 40, 50, 65, 80, 100, 125, 150, 200, 250, 300]
-PIPE_INCHES = {"1/2": 15, "3/4": 20, "1": 25, "1-1/4": 32, "1-1/2": 40, "2": 50, "2-1/2": 65, "3": 80, "4": 100, "5": 125, "6": 150, "8": 200, "10": 250, "12": 300}
+PIPE_INCHES = {0.5: 15, 0.75: 20, 1.0: 25, 1.25: 32, 1.5: 40, 2.0: 50, 2.5: 65, 3.0: 80, 4.0: 100, 5.0: 125, 6.0: 150, 8.0: 200}
+INCH_SIGNS = {"½": 0.5, "¼": 0.25, "¾": 0.75}
 
 
 def pipe_size(text: Column) -> Column:
-    """Nominal millimetres of Ø65, DN65, 65A, 65mm or inches with fractions; null if unknown."""
-    metric = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in (r"(?:Ø|ø|∅|DN)\s*(\d+)", r"(\d+)\s*(?:A\b|mm)")]).cast("int")
-    inches = F.regexp_replace(F.regexp_extract(text, r'(\d+(?:[\s-]+\d+/\d+|/\d+)?)\s*(?:"|”|吋)', 1), r"\s+", "-")
-    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in PIPE_INCHES.items() for x in pair]), inches)
+    """Nominal millimetres of Ø65, DN65, 65A, 65㎜ or of inches as 2", 2-1/2", 2½", 2.5吋; null if unknown."""
+    part = lambda p, g: F.nullif(F.regexp_extract(text, p, g), F.lit(""))
+    millimetres = r"(?:[Øø∅ΦφΦ]|DN)\s*(\d{2,3})|(\d{2,3})\s*(?:A|mm|MM|㎜)(?![A-Za-z])"
+    metric = F.coalesce(part(millimetres, 1), part(millimetres, 2)).cast("int")
+    inches = r'(?<![\d./])(?:(\d+(?:\.\d+)?)(?:\s*-\s*|\s+|(?=[½¼¾"”″吋英\s])))?(\d/\d|[½¼¾])?\s*(?:"|”|″|吋|英吋)'
+    signs = F.create_map(*[F.lit(x) for pair in INCH_SIGNS.items() for x in pair])
+    fraction = F.coalesce(F.try_element_at(signs, part(inches, 2)), F.split_part(part(inches, 2), F.lit("/"), F.lit(1)).try_cast("double") / F.split_part(part(inches, 2), F.lit("/"), F.lit(2)).try_cast("double"))
+    whole = part(inches, 1).cast("double")
+    size = F.when(whole.isNotNull() | fraction.isNotNull(), F.coalesce(whole, F.lit(0.0)) + F.coalesce(fraction, F.lit(0.0)))
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in PIPE_INCHES.items() for x in pair]), size)
     return F.coalesce(F.when(metric.isin(PIPE_MM), metric), named)
 
 

@@ -75,3 +75,10 @@ def test_geometry(spark):
     assert one(spark, geometry.within(F.array(*[F.lit(v) for v in (-0.05, 0.0, 4.0, 2.0)]), box), t=0) is True
     spot = one(spark, geometry.placed(F.lit(1.0), F.lit(0.0), F.lit(5.0), F.lit(5.0), F.lit(90.0), F.lit(2.0), F.lit(1.0)), t=0)
     assert (spot["x"], spot["y"]) == (pytest.approx(5), pytest.approx(7))
+
+
+def test_all_references_and_pipe_sizes(spark):
+    refs = one(spark, T.article_references(F.col("t")), t="依第12條之1第2項第3款、 十 九 條或第 一百十九 條 第 1 項及§15-2、條")
+    assert [tuple(r) for r in refs] == [(12, 1, 2, 3, None), (9, None, None, None, None), (119, None, 1, None, None), (15, 2, None, None, None)]
+    for text, mm in {'立管 2½"': 65, '2-1/2"': 65, '2 1/2"': 65, '2.5吋': 65, '1/2"': 15, '3/4吋': 20, "DN66": None, "65㎜": 65, "Φ100": 100, "80Amp": None, '½"': 15, '10"': None, "none": None}.items():
+        assert one(spark, T.pipe_size(F.col("t")), t=text) == mm, text
