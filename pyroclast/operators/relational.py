@@ -34,6 +34,12 @@ def same_as_above(df: DataFrame, cell: str, mark: str, keys: list[str], *order:
     return df.withColumn("resolved", F.when(c == mark, filled).otherwise(c)).withColumn("review", F.coalesce(c == mark, F.lit(False)) & F.lag(c).over(before).isNull())
 
 
+def range_width(df: DataFrame, key: str, rows: int = 1_000_000) -> int:
+    """Width of key ranges that hold about ``rows`` rows each where keys are evenly spread, and never more than a 64th of their span."""
+    least, most, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
+    return 1 if least is None else max(1, (most - least + 1) // max(64, n // rows))
+
+
 def running_count(df: DataFrame, key: str, width: int) -> DataFrame:
     """``ahead``: how many rows have a smaller integer ``key``.
 

@@ -84,13 +84,13 @@ def first_wins(points: DataFrame, group: list[str], tolerance: float) -> DataFra
 
     The rule depends on order: a group is one sheet and block name.  Points with a
     gap of more than the tolerance between their x can't meet, so a group is cut
-    there first, and each piece scanned once with a grid of the tolerance.
+    there first, and every 1024 such pieces are scanned once with a grid of the tolerance.
     """
     order = Window.partitionBy(*group).orderBy("x")
     columns = points.columns
     piece = "piece" + "_" * max(map(len, columns))
     apart = F.coalesce((F.col("x") - F.lag("x").over(order) > tolerance).cast("int"), F.lit(0))
-    pieces = points.withColumn(piece, apart).withColumn(piece, F.sum(piece).over(order))
+    pieces = points.withColumn(piece, apart).withColumn(piece, F.floor(F.sum(piece).over(order) / 1024))
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
@@ -232,18 +232,74 @@ def floor_mask(width: float, height: float, walls: list[tuple[float, float, floa
     return free
 
 
+def shifted(mask: np.ndarray, i: int, j: int) -> np.ndarray:
+    """The mask moved by i rows and j columns, False where nothing moves in."""
+    out = np.zeros_like(mask)
+    height, width = mask.shape
+    out[max(i, 0) : height + min(i, 0), max(j, 0) : width + min(j, 0)] = mask[max(-i, 0) : height - max(i, 0), max(-j, 0) : width - max(j, 0)]
+    return out
+
+
+def opened(mask: np.ndarray, reach: float, cell: float = CELL) -> np.ndarray:
+    """What is left of a mask without parts narrower than about twice ``reach``: eroded, then widened again."""
+    n = int(reach / cell + 1e-9)
+    steps = [(i, j) for i in range(-n, n + 1) for j in range(-n, n + 1) if np.hypot(i, j) <= n + 0.5]
+    core = np.logical_and.reduce([shifted(mask, i, j) for i, j in steps])
+    return np.logical_or.reduce([shifted(core, i, j) for i, j in steps])
+
+
+def pieces(mask: np.ndarray, least: float = 0.2, cell: float = CELL) -> np.ndarray:
+    """Areas of the connected pieces of at least ``least`` m², largest first (B10). What is narrower than a cell isn't in a mask."""
+    size = np.bincount(components(mask).ravel())[1:] * cell * cell
+    return np.sort(size[size >= least - 1e-9])[::-1]
+
+
+def near_boxes(shape: tuple[int, int], boxes: list[tuple[float, float, float, float]], gap: float, cell: float = CELL) -> np.ndarray:
+    """Cells whose centre is within ``gap`` of a box."""
+    ys, xs = np.ogrid[: shape[0], : shape[1]]
+    y, x = (ys + 0.5) * cell, (xs + 0.5) * cell
+    out = np.zeros(shape, bool)
+    for x0, y0, x1, y1 in boxes:
+        dx, dy = np.maximum(np.maximum(x0 - x, x - x1), 0), np.maximum(np.maximum(y0 - y, y - y1), 0)
+        out |= dx * dx + dy * dy <= gap * gap
+    return out
+
+
+def open_region(free: np.ndarray, rooms_: list[tuple[float, float, float, float]], gap: float = 0.6, width: float = 0.6, least: float = 5.0) -> np.ndarray:
+    """Free cells away from every room, in pieces that are wide and large enough to be floor of their own."""
+    region = opened(free & ~near_boxes(free.shape, rooms_, gap), width / 2)
+    label = components(region)
+    size = np.bincount(label.ravel()) * CELL * CELL
+    return region & (size[label] >= least)
+
+
+def rooms_touching(rooms_: DataFrame, parts: DataFrame, least: float = 0.05, size: float = 5.0) -> DataFrame:
+    """Pairs of a room and a part of its floor that overlap by more than ``least`` m², and by how much.
+
+    ``rooms_``: floor, room and a box; ``parts``: floor, part and a box. They meet on grid cells.
+    """
+    boxed = lambda df, key, e: df.select("floor", key, *[F.col(c).alias(e + c) for c in ("x0", "y0", "x1", "y1")], F.explode(cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)).alias("cell"))
+    met = boxed(rooms_, "room", "r").join(boxed(parts, "part", "p"), ["floor", "cell"]).drop("cell").distinct()
+    side = lambda k: F.greatest(F.least(F.col(f"r{k}1"), F.col(f"p{k}1")) - F.greatest(F.col(f"r{k}0"), F.col(f"p{k}0")), F.lit(0.0))
+    return met.withColumn("overlap", side("x") * side("y")).where(F.col("overlap") > least).select("floor", "room", "part", "overlap")
+
+
 _FLOOR = "floor long, width double, height double, walls array<struct<x0:double,y0:double,x1:double,y1:double>>, devices array<struct<x:double,y:double>>"
 
 
-def _per_floor(floors: DataFrame, measure, schema: str) -> DataFrame:
-    """Each floor is one row with its walls and devices; a task takes a batch of floors."""
+def _boxes(told) -> list[tuple[float, float, float, float]]:
+    return [tuple(w[k] for k in ("x0", "y0", "x1", "y1")) for w in (told if told is not None else [])]
+
+
+def _per_floor(floors: DataFrame, measure, schema: str, rooms_col: str | None = None) -> DataFrame:
+    """Each floor is one row with its walls and devices (or rooms, where a column is named); a task takes a batch of floors."""
 
     def run(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                free = floor_mask(r.width, r.height, [tuple(w[k] for k in ("x0", "y0", "x1", "y1")) for w in (r.walls if r.walls is not None else [])])
-                out += measure(r.floor, free, [(p["x"], p["y"]) for p in (r.devices if r.devices is not None else [])])
+                free = floor_mask(r.width, r.height, _boxes(r.walls))
+                out += measure(r.floor, free, _boxes(getattr(r, rooms_col)) if rooms_col else [(p["x"], p["y"]) for p in (r.devices if r.devices is not None else [])])
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     return floors.mapInPandas(run, schema)
@@ -259,6 +315,30 @@ def rooms(floors: DataFrame, least: float = 0.5) -> DataFrame:
     return _per_floor(floors, measure, "floor long, room int, area double")
 
 
+def open_floor(floors: DataFrame, rooms_col: str = "rooms") -> DataFrame:
+    """Area of each floor's region outside its rooms (array of boxes), and how many of the rooms lie by half or more in free floor."""
+
+    def measure(floor, free, boxes):
+        region = open_region(free, boxes)
+        inside = [near_boxes(free.shape, [b], 0.0) for b in boxes]
+        counted = sum(bool(m.any()) and float((m & free).sum() / m.sum()) >= 0.5 for m in inside)
+        return [(floor, round(float(region.sum()) * CELL * CELL, 2), int(counted))]
+
+    return _per_floor(floors, measure, "floor long, open_area double, counted int", rooms_col)
+
+
+def uncovered_pieces(floors: DataFrame, radius: float) -> DataFrame:
+    """Pieces of each floor that no device covers, without slivers, largest first."""
+
+    def measure(floor, free, devices):
+        covered = np.zeros_like(free)
+        for x, y in devices:
+            covered |= disc(free.shape, x, y, radius)
+        return [(floor, n, round(float(a), 2)) for n, a in enumerate(pieces(free & ~covered), 1)]
+
+    return _per_floor(floors, measure, "floor long, piece int, area double")
+
+
 def uncovered(floors: DataFrame, radius: float) -> DataFrame:
     """Free area of each floor that no device covers."""
 

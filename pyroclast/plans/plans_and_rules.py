@@ -139,6 +139,37 @@ def room_analysis(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.rooms(_floors(spark, sf))
 
 
+@query("""
+    WITH f AS (SELECT s_suppkey AS floor, (s_suppkey % 20 + 30) * 0.2::DOUBLE AS w, (s_suppkey % 7 + 20) * 0.2::DOUBLE AS h, s_suppkey % 20 + 30 AS nx, s_suppkey % 7 + 20 AS ny FROM supplier),
+    c AS (SELECT floor, w, h, (i + 0.5::DOUBLE) * 0.2::DOUBLE AS x, (j + 0.5::DOUBLE) * 0.2::DOUBLE AS y FROM (SELECT f.*, i, unnest(range(0, ny)) AS j FROM (SELECT f.*, unnest(range(0, nx)) AS i FROM f) f))
+    SELECT floor, round(count(*) FILTER (WHERE greatest(x - w * 0.5::DOUBLE, 0) ** 2 + greatest(y - h * 0.5::DOUBLE, 0) ** 2 > 0.6::DOUBLE * 0.6::DOUBLE) * 0.2::DOUBLE * 0.2::DOUBLE, 2) AS open_area, 1::INTEGER AS counted FROM c GROUP BY floor
+""")
+def open_floor_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """The region of a floor outside its rooms."""
+    room = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("width") * 0.5).alias("x1"), (F.col("height") * 0.5).alias("y1"))
+    floors = _floors(spark, sf).withColumn("walls", F.slice("walls", 1, 0)).withColumn("rooms", F.array(room))
+    return spatial.open_floor(floors)
+
+
+@query()
+def uncovered_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of floor that no sprinkler reaches, without slivers."""
+    return spatial.uncovered_pieces(_floors(spark, sf), 2.1)
+
+
+@query("""
+    WITH r AS (SELECT c_nationkey AS floor, c_custkey AS room, (c_custkey * 37 % 100)::DOUBLE AS x0, (c_custkey * 53 % 100)::DOUBLE AS y0, c_custkey * 37 % 100 + 4.0::DOUBLE AS x1, c_custkey * 53 % 100 + 3.0::DOUBLE AS y1 FROM customer),
+    p AS (SELECT s_nationkey AS floor, s_suppkey AS part, (s_suppkey * 29 % 100)::DOUBLE AS x0, (s_suppkey * 31 % 100)::DOUBLE AS y0, s_suppkey * 29 % 100 + 6.5::DOUBLE AS x1, s_suppkey * 31 % 100 + 5.5::DOUBLE AS y1 FROM supplier)
+    SELECT * FROM (SELECT r.floor, room, part, greatest(least(r.x1, p.x1) - greatest(r.x0, p.x0), 0) * greatest(least(r.y1, p.y1) - greatest(r.y0, p.y0), 0) AS overlap FROM r JOIN p ON r.floor = p.floor) WHERE overlap > 0.05
+""")
+def rooms_touching(spark: SparkSession, sf: str) -> DataFrame:
+    """Rooms that a part of their floor overlaps."""
+    box = lambda x, y, w, h: [x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + w).cast("double").alias("x1"), (y + h).cast("double").alias("y1")]
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    rooms = table(spark, sf, "customer").select(F.col("c_nationkey").alias("floor"), c.alias("room"), *box(c * 37 % 100, c * 53 % 100, 4.0, 3.0))
+    return spatial.rooms_touching(rooms, table(spark, sf, "supplier").select(F.col("s_nationkey").alias("floor"), s.alias("part"), *box(s * 29 % 100, s * 31 % 100, 6.5, 5.5)))
+
+
 @query()
 def walk_distance(spark: SparkSession, sf: str) -> DataFrame:
     """Walking distances to the nearest device; beyond the limit, in the grid's error band, unreachable."""

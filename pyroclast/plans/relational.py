@@ -236,7 +236,8 @@ def queue_position(spark: SparkSession, sf: str) -> DataFrame:
     """How many are ahead in a queue: those with smaller ids, and all that are running."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     running = o.where("o_orderstatus = 'P'").agg(F.count("*").alias("running"))
-    waiting = R.running_count(o.where("o_orderstatus = 'O'"), "o_orderkey", 1_000_000).select("o_orderkey", "ahead")
+    open_ = o.where("o_orderstatus = 'O'")
+    waiting = R.running_count(open_, "o_orderkey", R.range_width(open_, "o_orderkey")).select("o_orderkey", "ahead")
     placed = waiting.join(F.broadcast(running)).select("o_orderkey", (F.col("ahead") + F.col("running")).alias("position"))
     return o.select("o_orderkey").join(placed, "o_orderkey", "left")
 
@@ -248,7 +249,7 @@ def queue_position(spark: SparkSession, sf: str) -> DataFrame:
 def reverse_position_claimable(spark: SparkSession, sf: str) -> DataFrame:
     """Newest first, only claimable rows count."""
     o = table(spark, sf, "orders").where("o_orderstatus = 'O' AND o_totalprice > 100000").select("o_orderkey", (-F.col("o_orderkey")).alias("back"))
-    return R.running_count(o, "back", 1_000_000).select("o_orderkey", F.col("ahead").alias("position"))
+    return R.running_count(o, "back", R.range_width(o, "back")).select("o_orderkey", F.col("ahead").alias("position"))
 
 
 @query("""
@@ -428,14 +429,14 @@ def nulls_last_order(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    SELECT o_custkey, arg_max(o_orderkey, o_totalprice) AS largest, arg_min(o_orderkey, o_totalprice) AS smallest,
+    SELECT o_custkey, list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey)[1] AS largest, list(o_orderkey ORDER BY o_totalprice, o_orderkey)[1] AS smallest,
         array_to_string(list_slice(list(o_orderstatus ORDER BY o_orderkey), 1, 8), '、') || CASE WHEN count(*) > 8 THEN '…' || count(*) ELSE '' END AS shown
     FROM orders GROUP BY 1
 """)
 def arg_max_and_display(spark: SparkSession, sf: str) -> DataFrame:
-    """rows with the largest and smallest key, and a list cut for display."""
+    """rows with the largest and smallest price (ties to the smaller key), and a list cut for display."""
     items = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda x: x["o_orderstatus"])
-    g = table(spark, sf, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", "o_totalprice").alias("largest"), F.min_by("o_orderkey", "o_totalprice").alias("smallest"), items.alias("items"))
+    g = table(spark, sf, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("largest"), F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("smallest"), items.alias("items"))
     shown = F.concat(F.array_join(F.slice("items", 1, 8), "、"), F.when(F.size("items") > 8, F.concat(F.lit("…"), F.size("items"))).otherwise(""))
     return g.select("o_custkey", "largest", "smallest", shown.alias("shown"))
 

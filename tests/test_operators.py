@@ -176,3 +176,15 @@ def test_quota_and_transitions(spark):
     assert not any(r.accepted for r in state.daily_quota(rows, "at", "id", 0).collect())
     log = spark.createDataFrame([(1, 1, "queued"), (1, 2, "processing"), (1, 3, "done"), (2, 1, "done")], "k int, o int, status string")
     assert [(r.k, r.o) for r in state.illegal_transitions(log, "k", "o").collect()] == [(1, 3)]
+
+
+def test_open_regions_and_pieces():
+    free = np.ones((40, 60), bool)
+    region = spatial.open_region(free, [(0, 0, 6, 8)])
+    assert not region[:, :33].any() and region[:, 33:].all()
+    assert not spatial.open_region(free, [(0, 0, 6, 8), (7, 0, 12, 8)]).any()
+    assert not spatial.opened(np.pad(np.ones((40, 2), bool), ((0, 0), (5, 5))), 0.3).any()
+    mask = np.zeros((10, 10), bool)
+    mask[0, :4], mask[5, :5], mask[8:, 8:] = True, True, True
+    assert spatial.pieces(mask).tolist() == pytest.approx([0.2])
+    assert spatial.pieces(mask, 0.1).tolist() == pytest.approx([0.2, 0.16, 0.16])
