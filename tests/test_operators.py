@@ -188,3 +188,23 @@ def test_open_regions_and_pieces():
     mask[0, :4], mask[5, :5], mask[8:, 8:] = True, True, True
     assert spatial.pieces(mask).tolist() == pytest.approx([0.2])
     assert spatial.pieces(mask, 0.1).tolist() == pytest.approx([0.2, 0.16, 0.16])
+
+
+def test_components_of_masks():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        mask = rng.random((rng.integers(1, 25), rng.integers(1, 25))) < rng.random()
+        label = spatial.components(mask)
+        assert ((label > 0) == mask).all()
+        todo, n = {tuple(x) for x in np.argwhere(mask)}, 0
+        for first in map(tuple, np.argwhere(mask)):
+            if first in todo:
+                n += 1
+                stack = [first]
+                todo.discard(first)
+                while stack:
+                    i, j = stack.pop()
+                    assert label[i, j] == n
+                    near = {(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)} & todo
+                    todo -= near
+                    stack += near
