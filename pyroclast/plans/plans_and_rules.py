@@ -242,10 +242,79 @@ def requirement_rules(spark: SparkSession, sf: str) -> DataFrame:
     return found.where(F.col("key").isin("14", "19", "20", "26", "27")).select("building", "key", "status")
 
 
-@query()
+#: The same rules in SQL: for each requirement its clauses and what may be missing, with their conditions.
+_RULES = {
+    "14": ([("14/1/1", "cls = '甲' OR occ IN ('戊-1', '戊-3', '乙-12')"), ("14/1/2", "cls IN ('乙', '丙', '丁') AND total >= 150"), ("14/1/3", "special >= 50")], [("occupancy", "occ = ''"), ("areas by use", "cls = '戊'")]),
+    "15": (
+        [
+            ("15/1/1", "st BETWEEN 1 AND 5 AND cls IN ('甲', '乙', '丙', '丁') AND NOT school AND above >= CASE WHEN occ = '甲-1' THEN 300 ELSE 500 END"),
+            ("15/1/2", "st >= 6 AND cls IN ('甲', '乙', '丙', '丁') AND above >= 150"),
+            ("15/1/3", "occ = '戊-3' AND total >= 150"),
+            ("15/1/4", "cls IN ('甲', '乙', '丙', '丁') AND special >= CASE WHEN occ = '甲-1' THEN 100 ELSE 150 END"),
+        ],
+        [("occupancy", "occ = ''"), ("areas by use", "occ IN ('戊-1', '戊-2')"), ("stories", "st = 0"), ("whether a school's class room", "st BETWEEN 1 AND 5 AND school")],
+    ),
+    "16": ([("16/1", "occ = '丁-1' AND lower_two >= 3000")], [("occupancy", "occ = ''")]),
+    "17": (
+        [
+            ("17/1/1", "st BETWEEN 1 AND 10 AND CASE WHEN occ = '甲-1' THEN above_sum >= 300 ELSE (cls = '甲' OR occ = '乙-1') AND above >= 1500 END"),
+            ("17/1/2", "eleventh >= 100"),
+            ("17/1/3", "cls = '甲' AND special >= 1000"),
+            ("17/1/4", "st >= 11 AND (cls = '甲' OR occ = '戊-1')"),
+            ("17/1/7", "under"),
+            ("17/1/8", "tower"),
+        ],
+        [("occupancy", "occ = ''"), ("areas by use", "occ IN ('戊-1', '戊-2')"), ("stories", "st = 0"), ("height", "tower IS NULL")],
+    ),
+    "18": ([], [("uses and areas of rooms", "true")]),
+    "19": (_ALARM := [
+            ("19/1/1", "st BETWEEN 1 AND 5 AND CASE WHEN cls = '甲' OR occ = '乙-12' THEN above >= 300 ELSE cls IN ('乙', '丙', '丁') AND above >= 500 END"),
+            ("19/1/2", "st BETWEEN 6 AND 10 AND above >= 300"),
+            ("19/1/3", "st >= 11"),
+            ("19/1/4", "special >= CASE WHEN occ IN ('甲-1', '甲-5') THEN 100 ELSE 300 END"),
+            ("19/1/6", "(cls = '甲' OR occ = '戊-3') AND total >= 300"),
+        ],
+        [("occupancy", "occ = ''"), ("areas by use", "occ IN ('戊-1', '戊-2')"), ("stories", "st = 0")],
+    ),
+    "20": ([("20/1/1", "st >= 3 AND most >= 200"), ("20/1/2", "occ = '甲-3'")], [("occupancy", "occ = ''"), ("stories", "st = 0")]),
+    "21": (_GAS := [("21/1/1", "cls = '甲' AND below_sum >= 1000"), ("21/1/3", "under")], [("areas by use", "occ = '戊-1' AND below_sum >= 1000")]),
+    "22": ([("22/1", " OR ".join(f"({x})" for _, x in _ALARM + _GAS))], [("occupancy", "occ = ''"), ("areas by use", "occ IN ('戊-1', '戊-2')"), ("stories", "st = 0")]),
+    "23-1": ([("23/1", "cls = '甲' OR occ IN ('乙-12', '戊-1', '戊-3') OR marked > 0")], [("occupancy", "occ = ''")]),
+    "23-2": ([("23/1", "cls = '甲' OR occ IN ('乙-12', '戊-1', '戊-3') OR marked > 0")], [("occupancy", "occ = ''")]),
+    "24": ([("24/1/1", "cls IN ('甲', '丙', '戊')"), ("24/1/2", "occ IN ('乙-1', '乙-12')"), ("24/1/3", "occ <> '乙-3' AND total >= 1000")], [("uses and areas of rooms", "true")]),
+    "25": ([], [("places and persons of each floor", "true")]),
+    "26": ([("26/1/1", "st >= 7 OR (st IN (5, 6) AND total >= 6000)"), ("26/1/2", "under")], [("stories", "st = 0")]),
+    "27": ([("27/1/1", "site >= 20000 AND most >= 1500"), ("27/1/2", "height > 31 AND total >= 25000")], [("site area", "site IS NULL AND most >= 1500"), ("height", "height IS NULL AND total >= 25000")]),
+    "28": ([("28/1/1", "(cls = '甲' OR occ = '戊-3') AND total >= 500"), ("28/1/3", "closed_most >= 1000")], [("occupancy", "occ = ''")]),
+    "29": ([("29/1/1", "st >= 11"), ("29/1/2", "under")], []),
+    "30": ([("30/1/1", "below > 0 AND height >= 100"), ("30/1/2", "under"), ("30/1/3", "below >= 4 AND below_sum >= 3000")], [("height", "below > 0 AND height IS NULL")]),
+    "30-1": ([("30-1/1", "coalesce(tower, false) OR total >= 50000 OR under")], [("height", "tower IS NULL")]),
+}
+
+
+def _named_in_sql(conditions: list[tuple[str, str]]) -> str:
+    cases = ", ".join("CASE WHEN {} THEN '{}' END".format(x, n.replace("'", "''")) for n, x in conditions)
+    return f"array_to_string(list_filter([{cases}]::VARCHAR[], lambda x: x IS NOT NULL), ',')"
+
+
+@query(
+    """
+    WITH f AS (SELECT l_suppkey AS b, l_linenumber - 3 AS level, max(l_quantity) * 20 AS area, (l_suppkey + l_linenumber - 3) % 5 = 0 AS closed FROM lineitem WHERE l_linenumber <> 3 GROUP BY ALL),
+    p AS (SELECT s_suppkey AS b, CASE WHEN s_suppkey % 10 < 9 THEN ['甲-1', '甲-3', '乙-1', '乙-3', '丙-1', '丁-1', '戊-1', '戊-3', '乙-12'][s_suppkey % 10 + 1] ELSE '' END AS occ, s_suppkey % 18 AS st,
+        CASE WHEN s_suppkey % 4 > 0 THEN (s_suppkey % 60)::DOUBLE END AS height, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey * 400.0 END AS site, coalesce(sum(area), 0) + 10 AS total, coalesce(max(area), 0) AS most,
+        coalesce(max(area) FILTER (WHERE level > 0), 0) AS above, coalesce(sum(area) FILTER (WHERE level > 0), 0) AS above_sum, coalesce(max(area) FILTER (WHERE level < 0 OR closed), 0) AS special, coalesce(max(area) FILTER (WHERE closed), 0) AS closed_most,
+        coalesce(sum(area) FILTER (WHERE level < 0), 0) AS below_sum, count(*) FILTER (WHERE level < 0) AS below, coalesce(sum(area) FILTER (WHERE level IN (1, 2)), 0) AS lower_two, coalesce(max(area) FILTER (WHERE level >= 11), 0) AS eleventh, count(*) FILTER (WHERE level < 0 OR closed) AS marked
+        FROM supplier LEFT JOIN f ON f.b = s_suppkey GROUP BY s_suppkey),
+    q AS (SELECT *, split_part(occ, '-', 1) AS cls, occ = '戊-3' AND total >= 1000 AS under, occ = '乙-3' AND above >= 500 AND above < 1400 AS school, CASE WHEN coalesce(height >= 50, false) OR st >= 16 THEN true WHEN height IS NULL AND st >= 11 THEN NULL ELSE false END AS tower FROM p)
+    SELECT b AS building, key, law, missing, CASE WHEN law <> '' THEN 'REQUIRED' WHEN missing <> '' THEN 'UNKNOWN' ELSE 'NOT_REQUIRED' END AS status FROM (
+"""
+    + " UNION ALL ".join(f"SELECT b, '{key}' AS key, {_named_in_sql(clauses)} AS law, {_named_in_sql(lacks)} AS missing FROM q" for key, (clauses, lacks) in _RULES.items())
+    + ")"
+)
 def all_requirements(spark: SparkSession, sf: str) -> DataFrame:
-    """All requirement rules with the clauses that apply."""
-    return rules.requirements(_profiles(spark, sf))
+    """All requirement rules with the clauses that apply and the data that are missing."""
+    found = rules.requirements(_profiles(spark, sf))
+    return found.select("building", "key", F.array_join("law", ",").alias("law"), F.array_join("missing", ",").alias("missing"), "status")
 
 
 @query("""
