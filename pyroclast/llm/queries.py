@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyroclast.llm import bpe, exact_dedup, jaccard_join, language_id, packing, quality, secrets, substring_dedup, suffix_dedup, vptree
+from pyroclast.llm import bpe, exact_dedup, fill_in_middle, jaccard_join, language_id, packing, quality, secrets, substring_dedup, suffix_dedup, vptree
 from pyroclast.llm.tables import table
 
 
@@ -84,6 +84,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each document is arranged to fill in its middle, and that it can be restored."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fill_in_middle.arrange(docs, seed=7, percent=100, spm_percent=50).select("doc_id", "fim")
+    fim = F.col("fim")
+    chars = [F.length(fim[k]).cast("long").alias(f"{k}_chars") for k in ("prefix", "middle")]
+    restored = fill_in_middle.restore(fim["output"], fim["form"])
+    return found.select("doc_id", fim["n"].alias("n"), fim["form"].alias("form"), *chars, F.sha2(fim["output"], 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -97,6 +107,7 @@ QUERIES = {
         op8_secrets,
         op9_packing,
         op10_jaccard_join,
+        op13_fill_in_middle,
     )
 }
 
@@ -145,4 +156,15 @@ ORACLES = {
         r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.b) AS component_id FROM d JOIN r ON r.a = d.doc_id LEFT JOIN n USING (doc_id) GROUP BY d.doc_id, n.n
     """,
+    "op13_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+        u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS w FROM d),
+        h AS (SELECT *, len(w)::BIGINT AS n, list_transform(range(4), lambda i: ('0x' || substr(x, (8 * i + 1)::BIGINT, 8))::BIGINT) AS h FROM u),
+        c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (SELECT *, coalesce(array_to_string(w[1:a], ''), '') AS prefix, coalesce(array_to_string(w[a + 1:b], ''), '') AS middle, coalesce(array_to_string(w[b + 1:], ''), '') AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+        FROM p
+    """,
 }
