@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyroclast.llm import bpe, exact_dedup, fill_in_middle, jaccard_join, language_id, packing, quality, secrets, substring_dedup, suffix_dedup, vptree
+from pyroclast.llm import bpe, exact_dedup, fill_in_middle, importance, jaccard_join, language_id, packing, quality, secrets, substring_dedup, suffix_dedup, vptree
 from pyroclast.llm.tables import table
 
 
@@ -84,6 +84,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quarter of the documents whose word runs are most like those of the benchmark."""
+    docs, target = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return importance.resample(docs, target, n=2, buckets=10_000, percent=25, least_words=20, seed=7).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each document is arranged to fill in its middle, and that it can be restored."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -107,6 +113,7 @@ QUERIES = {
         op8_secrets,
         op9_packing,
         op10_jaccard_join,
+        op11_importance_resampling,
         op13_fill_in_middle,
     )
 }
@@ -156,6 +163,23 @@ ORACLES = {
         r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.b) AS component_id FROM d JOIN r ON r.a = d.doc_id LEFT JOIN n USING (doc_id) GROUP BY d.doc_id, n.n
     """,
+    # The CRC of each distinct feature, byte by byte, with the usual table of the reflected polynomial.
+    "op11_importance_resampling": r"""
+        WITH c AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS crc),
+        w AS (SELECT kind, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM (SELECT 's' AS kind, doc_id, text FROM documents UNION ALL SELECT 't', NULL, text FROM benchmark)),
+        f AS (SELECT kind, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+        b AS (SELECT f, xor(list_reduce(list_concat([4294967295], list_transform(range(strlen(f)), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT)), lambda x, y: xor(crc[(xor(x, y) & 255) + 1], x >> 8)), 4294967295) % 10000 AS b
+            FROM (SELECT DISTINCT f FROM f), c),
+        g AS (SELECT kind, doc_id, b, count(*) AS n FROM f JOIN b USING (f) GROUP BY ALL),
+        n AS (SELECT b, coalesce(sum(n) FILTER (kind = 's'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 't'), 0)::DOUBLE AS t FROM g GROUP BY 1),
+        a AS (SELECT b, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000)) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM n),
+        m AS (SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM g JOIN a USING (b) WHERE kind = 's' GROUP BY 1),
+        h AS (SELECT doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h FROM w LEFT JOIN m USING (doc_id) WHERE kind = 's'),
+        z AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM h),
+        r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM z WHERE words >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM z LEFT JOIN r USING (doc_id)
+    """,
     "op13_fill_in_middle": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
         u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS w FROM d),
