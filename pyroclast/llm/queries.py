@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyroclast.llm import bpe, exact_dedup, fill_in_middle, importance, jaccard_join, language_id, packing, quality, secrets, substring_dedup, suffix_dedup, vptree
+from pyroclast.llm import bpe, exact_dedup, fill_in_middle, html_extraction, html_pages, importance, jaccard_join, language_id, packing, quality, secrets, substring_dedup, suffix_dedup, vptree
 from pyroclast.llm.tables import table
 
 
@@ -90,6 +90,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(docs, target, n=2, buckets=10_000, percent=25, least_words=20, seed=7).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page, by a model of labelled pages."""
+    model = html_extraction.fit(html_pages.labelled_pages(spark, 1200))
+    return html_extraction.extract(table(spark, sf_dir, "pages"), model).select("page_id", "url", "text", "n_chars")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each document is arranged to fill in its middle, and that it can be restored."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -114,6 +120,7 @@ QUERIES = {
         op9_packing,
         op10_jaccard_join,
         op11_importance_resampling,
+        op12_html_extraction,
         op13_fill_in_middle,
     )
 }
@@ -180,6 +187,14 @@ ORACLES = {
         r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM z WHERE words >= 20)
         SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM z LEFT JOIN r USING (doc_id)
     """,
+    # What stands in the one article element that each page of the given tables has; the model isn't told of it.
+    "op12_html_extraction": r"""
+        WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
+        b AS (SELECT page_id, url, string_split_regex(regexp_replace(h, '<br>', ' ', 'g'), '</?(p|h1)>') AS b FROM a),
+        t AS (SELECT page_id, url, list_transform(b, lambda x: replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&')) AS b FROM b),
+        w AS (SELECT page_id, url, array_to_string(list_filter(list_transform(b, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM t)
+        SELECT page_id, url, text, length(text) AS n_chars FROM w
+    """,
     "op13_fill_in_middle": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
         u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS w FROM d),
