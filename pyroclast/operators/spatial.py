@@ -9,7 +9,6 @@ size.  Cells are 0.2 m unless said otherwise.
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -197,36 +196,71 @@ _STEPS = [
 ]
 
 
+def spread(free: np.ndarray, starts: np.ndarray, distance: np.ndarray, cell: float = CELL) -> np.ndarray:
+    """Walking distance to each cell from cells (flat numbers) that are so far away already: infinite if none is reachable, NaN in walls.
+
+    Cells are settled in buckets a cell wide, each as one wavefront: no step is shorter, so
+    a bucket is final when its turn comes, and its steps are taken by whole arrays, one for each direction.
+    """
+    height, width = free.shape
+    wide = width + 4
+    ground = np.pad(free, 2).ravel()
+    steps = []
+    for a, b, via in _STEPS:
+        ok = ground & np.roll(ground, -(a * wide + b))
+        for u, v in via:
+            ok &= np.roll(ground, -(u * wide + v))
+        steps.append((ok, a * wide + b, float(np.hypot(a, b)) * cell))
+    d = np.full(ground.shape, np.inf)
+    settled = ~ground
+    starts = np.asarray(starts, np.int64)
+    at = (starts // width + 2) * wide + starts % width + 2
+    np.minimum.at(d, at, distance)
+    bucket_of = lambda x: (x / cell + 1e-9).astype(np.int64)
+    waiting: dict[int, list[np.ndarray]] = {}
+
+    def wait(cells: np.ndarray) -> None:
+        bucket = bucket_of(d[cells])
+        for k in range(int(bucket.min()), int(bucket.max()) + 1) if len(cells) else ():
+            waiting.setdefault(k, []).append(cells[bucket == k])
+
+    wait(at[ground[at]])
+    while waiting:
+        now = min(waiting)
+        front = np.unique(np.concatenate(waiting.pop(now)))
+        front = front[~settled[front] & (bucket_of(d[front]) == now)]
+        settled[front] = True
+        for ok, offset, cost in steps:
+            one = front[ok[front]]
+            to, far = one + offset, d[one] + cost
+            nearer = far < d[to]
+            to = to[nearer]
+            d[to] = far[nearer]
+            wait(to)
+    return np.where(ground, d, np.nan).reshape(height + 4, wide)[2:-2, 2:-2]
+
+
+def standing(free: np.ndarray, sources: list[tuple[float, float]], cell: float = CELL, snap: float = 1.5) -> np.ndarray:
+    """Flat numbers of the free cells nearest to each source, within ``snap``."""
+    where = np.argwhere(free)
+    found = []
+    for x, y in sources if len(where) else ():
+        near = where[(np.abs((where[:, 1] + 0.5) * cell - x) <= snap) & (np.abs((where[:, 0] + 0.5) * cell - y) <= snap)]
+        away = np.hypot((near[:, 1] + 0.5) * cell - x, (near[:, 0] + 0.5) * cell - y)
+        if len(near) and away.min() <= snap:
+            i, j = near[int(away.argmin())]
+            found.append(i * free.shape[1] + j)
+    return np.array(found, np.int64)
+
+
 def walk(free: np.ndarray, sources: list[tuple[float, float]], cell: float = CELL, snap: float = 1.5) -> np.ndarray:
     """Walking distance from the nearest source to each cell: infinite if none is reachable, NaN in walls.
 
     Sources stand on the nearest free cell within ``snap``.  Sixteen directions
     overstate a straight way by less than three per cent.
     """
-    d = np.where(free, np.inf, np.nan)
-    heap = []
-    where = np.argwhere(free)
-    for x, y in sources:
-        if not len(where):
-            break
-        away = np.hypot((where[:, 1] + 0.5) * cell - x, (where[:, 0] + 0.5) * cell - y)
-        k = int(away.argmin())
-        if away[k] <= snap:
-            i, j = map(int, where[k])
-            d[i, j] = 0.0
-            heapq.heappush(heap, (0.0, i, j))
-    steps = [(a, b, via, float(np.hypot(a, b)) * cell) for a, b, via in _STEPS]
-    height, width = free.shape
-    while heap:
-        now, i, j = heapq.heappop(heap)
-        if now > d[i, j]:
-            continue
-        for a, b, via, cost in steps:
-            p, q = i + a, j + b
-            if 0 <= p < height and 0 <= q < width and free[p, q] and now + cost < d[p, q] and all(free[i + u, j + v] for u, v in via):
-                d[p, q] = now + cost
-                heapq.heappush(heap, (now + cost, p, q))
-    return d
+    at = standing(free, sources, cell, snap)
+    return spread(free, at, np.zeros(len(at)), cell)
 
 
 def floor_mask(width: float, height: float, walls: list[tuple[float, float, float, float]], cell: float = CELL) -> np.ndarray:
@@ -297,6 +331,11 @@ def _boxes(told) -> list[tuple[float, float, float, float]]:
     return [tuple(w[k] for k in ("x0", "y0", "x1", "y1")) for w in (told if told is not None else [])]
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by a key to as many tasks as shuffles have, however small it is: its rows are few, and much work each."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _per_floor(floors: DataFrame, measure, schema: str, rooms_col: str | None = None) -> DataFrame:
     """Each floor is one row with its walls and devices (or rooms, where a column is named); a task takes a batch of floors."""
 
@@ -308,7 +347,7 @@ def _per_floor(floors: DataFrame, measure, schema: str, rooms_col: str | None =
                 out += measure(r.floor, free, _boxes(getattr(r, rooms_col)) if rooms_col else [(p["x"], p["y"]) for p in (r.devices if r.devices is not None else [])])
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return floors.mapInPandas(run, schema)
+    return dealt(floors, "floor").mapInPandas(run, schema)
 
 
 def rooms(floors: DataFrame, least: float = 0.5) -> DataFrame:
