@@ -229,7 +229,7 @@ def test_unions_and_overlaps_of_regions(spark):
     for k in (None, 0, 1, 2):
         assert got[k][0] == pytest.approx(planar.area_of(planar.union([s for q, s in shapes if q == k])), abs=1e-4)
     assert got[7] == (0.0, []) and got[8] == (0.0, [])
-    one = df.where("k IS NOT NULL AND size(rings[0]) > 0").withColumn("id", F.monotonically_increasing_id()).select(F.lit(1).alias("g"), "id", "rings").persist()
+    one = df.where("k < 5").withColumn("id", F.monotonically_increasing_id()).select(F.lit(1).alias("g"), "id", "rings").persist()
     told = {r.id: drawn.region_of(r.rings) for r in one.collect()}
     pairs = {(r.id, r.other): r.overlap for r in regions.overlaps(one, one.withColumnRenamed("id", "other"), "g", "id", "other", size=2.0).collect()}
     want = {(a, b): planar.area_of(planar.intersection(p, q)) for a, p in told.items() for b, q in told.items()}
