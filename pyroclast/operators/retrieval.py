@@ -7,12 +7,18 @@ nodes.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pyroclast.functions.text import bigrams, word_pairs
+from pyroclast.sources.shared import fresh
 
 # The constant of reciprocal-rank fusion and the routes' weights.
 RRF_K = 60
@@ -20,6 +26,8 @@ ROUTE_WEIGHT = {"keyword": 0.5, "keyword_last": 0.5, "occupancy": 2.0, "legend":
 #: Order of routes where scores tie.
 ROUTE_ORDER = ["keyword", "keyword_last", "occupancy", "legend", "table", "vector"]
 PINNED_BONUS, PINNED_STEP = 10.0, 0.01
+#: Up to so many terms of questions are sent to where the postings are, and so many questions' vectors to where the vectors are.
+SENT_TERMS, SENT_VECTORS = 500_000, 4096
 
 
 def postings(nodes: DataFrame, node: str, text: str) -> DataFrame:
@@ -36,9 +44,50 @@ def keyword_route(index: DataFrame, questions: DataFrame, k: int = 20, route: st
 
 
 def keyword_hits(index: DataFrame, questions: DataFrame) -> DataFrame:
-    """How many of the terms that a question wants each node has; several routes may rank them."""
-    terms = questions.select("qid", word_pairs(F.col("text")).alias("terms")).select("qid", F.size("terms").alias("wanted"), F.explode("terms").alias("term"))
-    return terms.join(index, "term").groupBy("qid", "node").agg(F.count("*").alias("matched"), F.first("wanted").alias("wanted"))
+    """How many of the terms that a question wants each node has; several routes may rank them.
+
+    Terms of few questions (they are counted) go to the postings, so that pairs that nobody asks for are dropped where they are made.
+    """
+    terms = wanted_terms(questions)
+    few = terms.limit(SENT_TERMS + 1).count() <= SENT_TERMS
+    return _matched((F.broadcast(terms) if few else terms).join(index, "term"))
+
+
+def wanted_terms(questions: DataFrame) -> DataFrame:
+    return questions.select("qid", word_pairs(F.col("text")).alias("terms")).select("qid", F.size("terms").alias("wanted"), F.explode("terms").alias("term"))
+
+
+def _matched(met: DataFrame) -> DataFrame:
+    return met.groupBy("qid", "node").agg(F.count("*").alias("matched"), F.first("wanted").alias("wanted"))
+
+
+def publish_postings(nodes: DataFrame, node: str, text: str, buckets: int = 64) -> str:
+    """Write the postings of ``nodes`` (one row a node) once and return the version's name.
+
+    They are a table bucketed and sorted by term, so questions' terms meet them without moving them; beside it stands
+    what each node's text was, to tell later what has changed.  A version is never written to again: the
+    next one gets its own name, and whoever publishes it hands the name on.
+    """
+    spark, name = nodes.sparkSession, f"postings_{uuid.uuid4().hex}"
+    rows = postings(nodes, node, text).repartition(buckets, "term")
+    rows.write.bucketBy(buckets, "term").sortBy("term", "node").option("path", fresh(spark, name)).saveAsTable(name)
+    nodes.select(F.col(node).alias("node"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("hash")).write.option("path", fresh(spark, name + "_nodes")).saveAsTable(name + "_nodes")
+    return name
+
+
+def published_hits(name: str, nodes: DataFrame, node: str, text: str, questions: DataFrame) -> DataFrame:
+    """``keyword_hits`` of today's nodes: from the published postings, and from the texts only of nodes that came or changed since.
+
+    Nodes that went or changed are left out of what was published.
+    """
+    spark = nodes.sparkSession
+    now = nodes.select(F.col(node).alias("node"), F.col(text).alias("text"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("hash"))
+    then = spark.table(name + "_nodes")
+    fresh_nodes = now.join(then, ["node", "hash"], "left_anti")
+    stale = then.join(now.select("node", "hash"), ["node", "hash"], "left_anti").select("node")
+    terms = wanted_terms(questions)
+    old = _matched(spark.table(name).join(terms, "term")).join(stale, "node", "left_anti")
+    return old.unionByName(keyword_hits(postings(fresh_nodes, "node", "text"), questions))
 
 
 def best_hits(hits: DataFrame, k: int = 20, route: str = "keyword", at_least: float = 0.0) -> DataFrame:
@@ -67,15 +116,65 @@ def _cosine(a: Column, b: Column, length_a: Column, length_b: Column) -> Column:
 
 
 def vector_route(vectors: DataFrame, questions: DataFrame, k: int = 20) -> DataFrame:
-    """Nodes by cosine among those that share the question's filter.
+    """Nodes by cosine (to twelve places) among those that share the question's filter.
 
-    ``vectors`` has node, filter and vector; ``questions`` qid, filter and vector.  Lengths are computed once a vector.
+    ``vectors`` has node, filter and vector; ``questions`` qid, filter and vector.  Up to ``SENT_VECTORS`` questions go to
+    the vectors as matrices, one for each filter: a batch of vectors is one product, and hands on its ``k`` best for each question.
+    More questions meet the vectors in a join on the filter.  Nulls, vectors of no length and of other dimensions take no part.
+    """
+    asked = questions.where("filter IS NOT NULL AND vector IS NOT NULL").select("qid", "filter", F.col("vector").cast("array<double>").alias("q"))
+    if asked.limit(SENT_VECTORS + 1).count() > SENT_VECTORS:
+        length = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+        pairs = asked.withColumn("q_length", length("q")).join(vectors.select("node", "filter", "vector", length("vector").alias("length")), "filter")
+        score = F.round(_cosine(F.col("q"), F.col("vector"), F.col("q_length"), F.col("length")), 12)
+        return ranked(pairs.select("qid", "node", score.alias("score")).where("score IS NOT NULL"), "vector", k, F.desc("score"), F.col("node"))
+    groups: dict = {}
+    for r in asked.collect():  # at most SENT_VECTORS rows, as counted
+        q = np.array(r.q, float)
+        if np.isfinite(q).all() and q.any():
+            groups.setdefault((r["filter"], len(q)), []).append((r.qid, q / np.sqrt(q @ q)))
+    shared = vectors.sparkSession.sparkContext.broadcast({key: (np.array([qid for qid, _ in rows]), np.stack([q for _, q in rows])) for key, rows in groups.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("vector")
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            filters, nodes = np.array(batch.column("filter").to_pylist(), object), batch.column("node").to_numpy(zero_copy_only=False)
+            for (filter_, dimensions), (qids, matrix) in shared.value.items():
+                at = np.flatnonzero((filters == filter_) & (size == dimensions))
+                if not len(at):
+                    continue
+                values = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), dimensions)
+                length = np.sqrt((values * values).sum(1))
+                ok = np.isfinite(length) & (length > 0)
+                if not ok.any():
+                    continue
+                score = np.round((values[ok] / length[ok, None]) @ matrix.T, 12)
+                some = nodes[at[ok]]
+                best = np.lexsort((np.broadcast_to(some[:, None], score.shape), -score), axis=0)[:k]
+                yield pa.RecordBatch.from_pydict({"qid": np.broadcast_to(qids, best.shape).ravel(), "node": some[best].ravel(), "score": np.take_along_axis(score, best, 0).ravel()})
+
+    kinds = dict(questions.dtypes) | dict(vectors.dtypes)
+    near = vectors.where("filter IS NOT NULL AND vector IS NOT NULL").select("node", "filter", F.col("vector").cast("array<double>").alias("vector"))
+    return ranked(near.mapInArrow(run, f"qid {kinds['qid']}, node {kinds['node']}, score double"), "vector", k, F.desc("score"), F.col("node"))
+
+
+def pair_counts(texts: DataFrame, text: str) -> DataFrame:
+    """bigram and df: in how many texts each pair of neighbouring characters occurs.
+
+    Pairs are numbers of two code points; each batch hands on one row for each pair that it has.
     """
-    length = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    asked = questions.select("qid", "filter", F.col("vector").alias("q"), length("vector").alias("q_length"))
-    pairs = asked.join(vectors.select("node", "filter", "vector", length("vector").alias("length")), "filter")
-    score = _cosine(F.col("q"), F.col("vector"), F.col("q_length"), F.col("length"))
-    return ranked(pairs.select("qid", "node", score.alias("score")), "vector", k, F.desc("score"), F.col("node"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs: list[np.ndarray] = []
+            for t in batch.column("text").to_pylist():
+                points = np.frombuffer((t or "").encode("utf-32-le"), np.uint32).astype(np.int64)
+                pairs.append(np.unique(points[:-1] << 32 | points[1:]))
+            found, n = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_pydict({"bigram": pa.array([chr(p >> 32) + chr(p & 0xFFFFFFFF) for p in found.tolist()], pa.string()), "n": pa.array(n, pa.int64())})
+
+    return texts.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "bigram string, n long").groupBy("bigram").agg(F.sum("n").alias("df"))
 
 
 def known_pairs(texts: DataFrame, text: str, known: DataFrame) -> DataFrame:

@@ -41,6 +41,17 @@ def keyword_route(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.keyword_route(index, _questions(spark, sf))
 
 
+@query(_KEYWORD + "SELECT qid, 'keyword' AS route, rank::INTEGER AS rank, node FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY matched DESC, node) AS rank FROM hits) WHERE rank <= 20")
+def stored_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """The same hits from postings published before a fiftieth of the documents changed, another came and others went."""
+    now = table(spark, sf, "documents").select("doc_id", "text")
+    k = F.col("doc_id")
+    gone = now.where("doc_id % 25 = 2").withColumn("doc_id", -k - 1)
+    then = now.where("doc_id % 50 <> 1").withColumn("text", F.when(k % 50 == 0, F.concat(F.lit("as it was: "), "text")).otherwise(F.col("text"))).unionByName(gone)
+    name = retrieval.publish_postings(then, "doc_id", "text")
+    return retrieval.best_hits(retrieval.published_hits(name, now, "doc_id", "text", _questions(spark, sf)))
+
+
 @query("""
     WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0)
     SELECT vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.e), 6) AS score FROM embeddings v, q ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.e) DESC, vec_id LIMIT 20
@@ -85,10 +96,9 @@ def fused_topk(spark: SparkSession, sf: str) -> DataFrame:
     asked = _questions(spark, sf)
     index = retrieval.postings(table(spark, sf, "documents"), "doc_id", "text")
     hits = retrieval.keyword_hits(index, asked)  # ranked by two routes; the plan computes it once
-    strict = retrieval.best_hits(hits, 1_000_000, "keyword_last", 0.5)
-    pinned = strict.where(F.col("node") % 10 == F.col("qid") % 10)
+    pinned = hits.where("matched >= wanted * 0.5 AND node % 10 = qid % 10")
     pinned = retrieval.ranked(pinned, "direct", 3, F.col("node")).select("qid", (F.col("rank") - 1).alias("ord"), "node")
-    routes = [retrieval.best_hits(hits), strict.where("rank <= 20"), vector_topk_filtered(spark, sf)]
+    routes = [retrieval.best_hits(hits), retrieval.best_hits(hits, 20, "keyword_last", 0.5), vector_topk_filtered(spark, sf)]
     return retrieval.fuse(routes, pinned).withColumn("routes", F.array_join(F.array_sort("routes"), ","))
 
 
@@ -115,8 +125,7 @@ def hit_at_k_mrr(spark: SparkSession, sf: str) -> DataFrame:
 """)
 def bigram_df(spark: SparkSession, sf: str) -> DataFrame:
     """In how many documents each pair of characters occurs."""
-    d = table(spark, sf, "documents").select(F.explode(F.array_distinct(T.bigrams(F.coalesce("text", F.lit(""))))).alias("bigram"))
-    return d.groupBy("bigram").agg(F.count("*").alias("df"))
+    return retrieval.pair_counts(table(spark, sf, "documents"), "text")
 
 
 @query("""
