@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyroclast.sources.shared import written
+
 CELL = 0.2
 INF = float("inf")
 
@@ -107,24 +109,25 @@ def first_wins(points: DataFrame, group: list[str], tolerance: float) -> DataFra
 
 
 def greedy_nearest(items: DataFrame, places: DataFrame, group: str, radius: float) -> DataFrame:
-    """Each item, in order, takes the nearest place within ``radius`` that is still free."""
-
-    def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("place")
-        free = np.ones(len(right), bool)
-        xy = right[["x", "y"]].to_numpy()
-        out = []
-        for r in left.sort_values("ord").itertuples():
-            d = np.hypot(xy[:, 0] - r.x, xy[:, 1] - r.y)
-            d = np.where(free & (d <= radius), d, np.inf)
-            if len(d) and np.isfinite(d.min()):
-                k = int(d.argmin())
-                free[k] = False
-                out.append((getattr(r, group), r.ord, right["place"].iloc[k], float(d[k])))
-        return pd.DataFrame(out, columns=[group, "ord", "place", "distance"])
-
-    kind = dict(items.dtypes)
-    return items.groupBy(group).cogroup(places.groupBy(group)).applyInPandas(assign, f"{group} {kind[group]}, ord {kind['ord']}, place {dict(places.dtypes)['place']}, distance double")
+    """Each item, in order, takes the nearest place within ``radius`` that is still free, the first of equally near ones.
+
+    Items and places meet on grid cells.  Then rounds: an item that comes first among all that could still take its nearest free place
+    takes it, for no earlier item is left that might, and what is taken leaves the pairs.  That is the same result
+    as one item after the other, and the first item left of a group always has its turn; items far apart go at once, so rounds
+    are as many as items wait for each other in a row.  No group is gathered.  Nulls and items without a place in reach take none;
+    ``ord`` tells a group's items apart.
+    """
+    far = places.select(group, "place", F.col("x").alias("px"), F.col("y").alias("py"), F.explode(cells(F.col("x") - radius, F.col("y") - radius, F.col("x") + radius, F.col("y") + radius, radius)).alias("cell"))
+    met = items.select(group, "ord", "x", "y", _cell(F.col("x"), F.col("y"), radius).alias("cell")).join(far, [group, "cell"])
+    left = written(met.withColumn("distance", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).where(F.col("distance") <= radius).select(group, "ord", "place", "distance"), "pairs")
+    taken = left.where("false")
+    while not left.isEmpty():
+        nearest = left.groupBy(group, "ord").agg(F.min(F.struct("distance", "place")).alias("b")).select(group, "ord", "b.place", "b.distance")
+        first = left.groupBy(group, "place").agg(F.min("ord").alias("ord"))
+        now = written(nearest.join(first, [group, "place", "ord"]).select(group, "ord", "place", "distance"), "taken")
+        taken = taken.unionByName(now)
+        left = written(left.join(now.select(group, "ord"), [group, "ord"], "left_anti").join(now.select(group, "place"), [group, "place"], "left_anti").select(group, "ord", "place", "distance"), "pairs")
+    return taken
 
 
 def displacement_pairs(a: DataFrame, b: DataFrame, cell: float, ratio: float) -> DataFrame:

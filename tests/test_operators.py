@@ -208,3 +208,19 @@ def test_components_of_masks():
                     near = {(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)} & todo
                     todo -= near
                     stack += near
+
+
+def test_greedy_assignment_is_one_after_the_other(spark):
+    rng = np.random.default_rng(12)
+    items = [(int(g), k, float(rng.integers(0, 25)), float(rng.integers(0, 25))) for k in range(160) for g in [rng.integers(0, 3)]] + [(1, 900, None, 2.0), (None, 901, 1.0, 1.0)]
+    places = [(int(rng.integers(0, 3)), k, float(rng.integers(0, 25)), float(rng.integers(0, 25))) for k in range(90)] + [(1, 500, 3.0, None)]
+    want, free = {}, {(g, p): (x, y) for g, p, x, y in places if y is not None}
+    for g, k, x, y in sorted((i for i in items if i[0] is not None and i[2] is not None), key=lambda i: i[1]):
+        near = min(((np.hypot(a - x, b - y), p) for (h, p), (a, b) in free.items() if h == g and np.hypot(a - x, b - y) <= 3), default=None)
+        if near:
+            want[g, k] = (near[1], near[0])
+            del free[g, near[1]]
+    df, at = spark.createDataFrame(items, "floor int, ord int, x double, y double"), spark.createDataFrame(places, "floor int, place int, x double, y double")
+    got = {(r.floor, r.ord): (r.place, r.distance) for r in spatial.greedy_nearest(df, at, "floor", 3.0).collect()}
+    assert set(got) == set(want) and all(got[k][0] == p and got[k][1] == pytest.approx(d) for k, (p, d) in want.items())
+    assert spatial.greedy_nearest(df.where("false"), at, "floor", 3.0).count() == spatial.greedy_nearest(df, at.where("false"), "floor", 3.0).count() == 0
