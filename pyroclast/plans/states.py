@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pyroclast.operators import state
 from pyroclast.plans.registry import query, table
-from pyroclast.streaming import twins
+from pyroclast.streaming import stateful, twins
 
 
 def _jobs(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,3 +101,35 @@ def display_states(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey") % 5
     db = F.when(k == 0, "pending").when(k == 2, "rendering").when(k == 3, "failed")
     return table(spark, sf, "orders").select("o_orderkey", state.display_state(db, F.when(k == 1, "done"), F.col("o_custkey") % 2 == 0, F.col("o_orderstatus") == "F").alias("shown"))
+
+
+@query("""
+    WITH e AS (SELECT user_id AS id, epoch_us(ts) // 1000 AS ms, ts, event_id, max(ts) OVER () AS newest FROM events),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY id ORDER BY ts, event_id) <= 21600000 THEN 0 ELSE 1 END AS new FROM e))
+    SELECT id, min(ms) AS start, max(ms) AS finish, count(*) AS n FROM (SELECT *, max(s) OVER (PARTITION BY id) AS latest FROM g) GROUP BY id, s HAVING max(ms) + 21600001 <= epoch_us(any_value(newest) - INTERVAL 1 HOUR) // 1000 OR s < any_value(latest)
+""")
+def session_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """users' sessions, apart by six hours; those that may go on are still open."""
+    events = stateful.as_events(twins.parquet_stream(spark, sf, "events"), "user_id", F.lit("x"))
+    return stateful.run_available(stateful.sessions(events, 21_600))
+
+
+@query("""
+    WITH e AS (SELECT user_id AS id, epoch_us(ts) // 1000 AS ms, ts, event_id, CASE WHEN event_type = 'click' THEN 'ask' ELSE 'result' END AS kind, (ts::DATE - DATE '2024-01-01') - CASE WHEN event_type = 'click' THEN 0 ELSE event_id % 2 END AS gen FROM events WHERE event_type IN ('click', 'view', 'purchase')),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY ts, kind, event_id) AS s FROM (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY id ORDER BY ts, kind, event_id) <= 432000000 THEN 0 ELSE 1 END AS new FROM e)),
+    n AS (SELECT *, max(CASE WHEN kind = 'ask' THEN gen END) OVER (PARTITION BY id, s ORDER BY ts, kind, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM s)
+    SELECT id, ms, gen::BIGINT AS gen FROM n WHERE kind = 'result' AND gen = newest
+""")
+def generation_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Results of today or yesterday count if a click of that day was the last; users unheard of for five days are forgotten."""
+    told = twins.parquet_stream(spark, sf, "events").where("event_type IN ('click', 'view', 'purchase')")
+    ask = F.col("event_type") == "click"
+    gen = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) - F.when(ask, 0).otherwise(F.col("event_id") % 2)
+    return stateful.run_available(stateful.generations(stateful.as_events(told, "user_id", F.when(ask, "ask").otherwise("result"), gen), 432_000))
+
+
+@query()
+def lease_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """users' jobs, claimed by views and clicks and finished by purchases, with leases of a day."""
+    kind = F.when(F.col("event_type").isin("view", "click"), "claim").when(F.col("event_type") == "purchase", "finish")
+    return stateful.run_available(stateful.leases(stateful.as_events(twins.parquet_stream(spark, sf, "events"), "user_id", kind), 86_400))
