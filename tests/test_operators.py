@@ -100,8 +100,8 @@ def test_graph(spark):
 def test_equipment(spark):
     legend = ["室內消防栓", "排煙口", "閥"]
     with pytest.raises(ValueError):
-        equipment.Dictionary(legend, [("^X", "沒有", {})])
-    dictionary = equipment.Dictionary(legend, [("^H-", "室內消防栓", {"hydrant_class": "1"})], [("VENT", "排煙口", {})])
+        equipment.known_symbols(spark, legend, [("block", "^X", "沒有", {})])
+    dictionary = equipment.known_symbols(spark, legend, [("block", "^H-", "室內消防栓", {"hydrant_class": "1"}), ("layer", "VENT", "排煙口", {})])
     rows = [
         (1, 1, "H-1", "FP", 0.0, 0.0, {"種類": "第二種"}), (1, 2, "H-1", "FP", 0.04, 0.04, None), (1, 3, "H-1", "FP", 0.2, 0.0, None), (1, 4, "A$C", "P-VENT", 0.0, 0.0, {"SIZE": "60x50", "AREA": ""}),
         (1, 5, "A$C", None, 9.0, 0.0, None), (1, 6, "閥", "FP", 0.0, 0.0, None), (1, 7, "H-1", "圖例", 5.0, 0.0, None), (2, 1, None, None, 0.0, 0.0, None),
