@@ -234,3 +234,20 @@ def test_unions_and_overlaps_of_regions(spark):
     pairs = {(r.id, r.other): r.overlap for r in regions.overlaps(one, one.withColumnRenamed("id", "other"), "g", "id", "other", size=2.0).collect()}
     want = {(a, b): planar.area_of(planar.intersection(p, q)) for a, p in told.items() for b, q in told.items()}
     assert set(pairs) == {k for k, v in want.items() if v > 0.05} and all(v == pytest.approx(want[k]) for k, v in pairs.items())
+
+
+def test_open_floors(spark):
+    """What no room encloses, against the cells that a plain loop keeps; rings have the cells' area."""
+    lines, t, _ = frames(spark, [(1, 1, "大廳", 5.0, 5.0)])
+    rooms = drawn.named_rooms(drawn.drawn_rooms(lines), t)
+    plans = drawn.plans(rooms, lines, spark.createDataFrame([], "floor long, label string"), spark.createDataFrame([], "floor long, x double, y double")).where("floor = 1")
+    assert drawn.open_floors(plans).count() == 0  # walls aren't floor of their own
+    left = plans.withColumn("rooms", F.filter("rooms", lambda r: r["room"] == 2))
+    got = drawn.open_floors(left).collect()
+    other = drawn.region_of(rooms.where("floor = 1 AND room = 2").first().rings)
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(-1.5, 21.5, 0.05), np.arange(-1.5, 11.5, 0.05)))
+    open_ = (x >= 0) & (x <= 20) & (y >= 0) & (y <= 10) & (planar.depth(other, x, y) < -0.6)
+    label = spatial.components(spatial.opened(open_.reshape(len(np.arange(-1.5, 11.5, 0.05)), -1), 0.3, 0.05))
+    size = np.sort(np.bincount(label.ravel())[1:] * 0.0025)[::-1]
+    assert [r.area for r in got] == pytest.approx([s for s in size if s >= 5], rel=0.04) and [r.piece for r in got] == list(range(1, len(got) + 1))
+    assert all(planar.area_of(drawn.region_of(r.rings)) == pytest.approx(r.area, abs=0.01) for r in got)
