@@ -20,14 +20,20 @@ half tell how many random strings a class has.  A class reports
 the p-values above the least bound at which at most a share ``fdr`` of the strings there is more than
 so many random ones would give; the bound is never below ``miss``.  Long classes, where natural text is far out, so go down to it, and short
 ones, where it is not, stop earlier.  What carries less than ``min_bits`` bits is not reported.
+
+A class of few strings tells nothing about natural ones, so each string also has evidence against a frozen
+model of natural strings (letters after letters from a list of words, kinds of characters after each
+other): how much likelier it is drawn evenly from its alphabet.  Under that model the
+mean of this ratio is at most one, whatever else the table holds, so reporting the k strings of a class of m whose ratio is at
+least m / (fdr k) keeps the expected share of natural ones among them at ``fdr`` or less, for one string as for millions.
 A run of these characters may
 join a secret to a name or a path, so beside the whole run its pieces between
 ``=`` (other than padding at the end), between ``=`` and ``/``, and between all
 signs but ``+`` are tested, where they have 20 characters and more, and a piece
 is reported unless it lies in a longer string that is.  Base spans are blanked
 first, so what they leave of a run is tested like any other.
-P-values are counted in bins of a quarter of a bit, so the thresholds come from
-one aggregation of at most 17 x 201 counts.
+P-values are counted in bins of a quarter of a bit and evidence in steps of four bits up to 60, so the
+thresholds come from one aggregation of at most 17 x 201 x 16 counts.
 
 Positions come from the pieces between matches: their lengths in code points
 add up, without Python and without leaving the row.
@@ -40,8 +46,10 @@ result; extra columns are not read, whatever their names.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +66,31 @@ PIECES = ["[^=]{20,}(?:=+$)?", "[^=/]{20,}(?:=+$)?", "[A-Za-z0-9+]{20,}(?:=+$)?"
 KINDS = ["assign", "access", "hex", "random"]
 
 _SPANS = "array<struct<s:int,e:int,t:string>>"
+_REACHED = "array<struct<at:int,s:int,e:int>>"
 _LONGEST, _BINS, _BLOCK = 16, 200, 256
+_STEP, _STEPS = 4, 15
+
+#: The frozen model of natural strings: words whose letters tell which letter follows which ...
+WORDS = """
+access account action active address admin agent amount array article back base batch before begin block body border build button cache call
+category change channel check child class clean click client close code collection color column comment common company config connection content
+context control count country create current custom data database date default delete description detail device direct display document domain
+download driver element email enable end entry error event example export external factory field file filter final find first folder font form
+format frame from function general get group handle header height hello home host image import index info input instance internal invoice item job
+key label language last layout length level library limit line link list loader local location lock log main manager map market member memory
+message method mode model module month name network node note number object offer office option order output owner package page parent password path
+payment people person phone place plan point policy position post price process product profile project property provider public query
+""".split()
+#: ... and how often a kind of character (lower, upper, digit, sign) follows the start or another kind.
+FOLLOWS = {
+    "start": (0.50, 0.35, 0.10, 0.05),
+    "lower": (0.82, 0.07, 0.04, 0.07),
+    "upper": (0.60, 0.28, 0.05, 0.07),
+    "digit": (0.10, 0.08, 0.67, 0.15),
+    "sign": (0.60, 0.20, 0.15, 0.05),
+}
+SIGNS = "+/-_="
+CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + SIGNS
 
 #: Encodings in the order they are tried: pattern of the whole string, alphabet.
 ENCODINGS = [
@@ -74,6 +106,41 @@ ENCODINGS = [
 ]
 
 
+@lru_cache(1)
+def natural_bits() -> list[float]:
+    """Bits of each character of ``CHARACTERS`` (from 1) after each other one or the start (0) in the model of natural strings, row by row."""
+    pairs, single = Counter(a + b for w in WORDS for a, b in pairwise(w)), Counter("".join(WORDS))
+    letters = sum(single.values())
+    alone = {c: (single[c] + 1) / (letters + 26) for c in CHARACTERS[26:52]}
+    before = Counter(w[i] for w in WORDS for i in range(len(w) - 1))
+    after = {a + b: (pairs[a + b] + 6 * alone[b]) / (before[a] + 6) for a in alone for b in alone}
+
+    def kind(c: str) -> str:
+        return "start" if not c else "digit" if c.isdigit() else "sign" if c in SIGNS else "lower" if c.islower() else "upper"
+
+    def bits(a: str, b: str) -> float:
+        one, two = kind(a), kind(b)
+        chance = dict(zip(["lower", "upper", "digit", "sign"], FOLLOWS[one], strict=True))[two]
+        if two in ("digit", "sign"):
+            return -math.log2(chance / (10 if two == "digit" else len(SIGNS)))
+        joined = a.isalpha() and not (one == "lower" and two == "upper")  # an upper letter after a lower one begins a word
+        return -math.log2(chance * (after[a.lower() + b.lower()] if joined else alone[b.lower()]))
+
+    return [0.0 if not b else bits(a, b) for a in ["", *CHARACTERS] for b in ["", *CHARACTERS]]
+
+
+def evidence(t: Column, random_bits: Column) -> Column:
+    """Bits by which even draws from one of the alphabets explain ``t`` better than the model of natural strings."""
+    table = F.split(F.lit(",".join(f"{x:.4f}" for x in natural_bits())), ",").cast("array<double>")  # folded to a constant
+    start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("bits"))
+
+    def read(state: Column, c: Column) -> Column:
+        return _named(F.instr(F.lit(CHARACTERS), c), lambda at: F.struct(at.alias("last"), (state["bits"] + F.get(table, state["last"] * (len(CHARACTERS) + 1) + at)).alias("bits")))
+
+    natural = F.aggregate(F.filter(F.split(t, ""), lambda c: c != ""), start, read, lambda s: s["bits"])
+    return natural - random_bits - math.log2(len(ENCODINGS))  # the alphabet was chosen after looking
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Start, end (code points, exclusive) and text of each leftmost match that doesn't overlap an earlier one."""
     p = F.lit(pattern)
@@ -199,17 +266,57 @@ def _ranked(spans: Column, rank: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(rank).alias("rank"), x["e"].alias("e")))
 
 
-def _blanked(text: Column, spans: Column) -> Column:
-    """``text`` with blanks in place of the spans' characters."""
+def _reach(spans: Column) -> Column:
+    """The spans by start, longer ones first, with ``at``: how far those before them reach.
+
+    Blocks are gathered by themselves and then put together, as arrays are copied when they grow.
+    """
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("back"))))
+    none = F.slice(F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("s"), F.lit(0).alias("e"))), 1, 0).cast(_REACHED)
+
+    def add(state: Column, x: Column) -> Column:
+        one = F.struct(state["at"].alias("at"), x["s"].alias("s"), (-x["back"]).alias("e"))
+        return F.struct(F.greatest(state["at"], -x["back"]).alias("at"), F.concat(state["found"], F.array(one)).alias("found"))
 
-    def blank(state: Column, x: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, x["s"] - state["at"])
-        start, end = F.greatest(state["at"], x["s"]), F.greatest(state["at"], x["e"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.when(x["s"] > state["at"], gap).otherwise(""), F.repeat(F.lit(" "), end - start)).alias("out"))
+    def placed(every: Column) -> Column:
+        def follow(state: Column, i: Column) -> Column:
+            block = F.aggregate(F.slice(every, i + 1, _BLOCK), F.struct(state["at"].alias("at"), none.alias("found")), add)
+            return _named(block, lambda b: F.struct(b["at"].alias("at"), F.concat(state["found"], F.array(b["found"])).alias("found")))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), start, blank, rest)).otherwise(text)
+        start = F.struct(F.lit(0).alias("at"), F.array(none).alias("found"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(every) - 1, F.lit(_BLOCK)), start, follow, lambda state: F.flatten(state["found"]))
+
+    return F.when(F.size(spans) > 0, _named(ordered, placed)).otherwise(none)
+
+
+def _replaced(text: Column, spans: Column, fill: Callable[[Column], Column]) -> Column:
+    """``text`` with ``fill`` of each reached span (see ``_reach``) in place of what it covers.
+
+    Text is cut once for each block of spans and then within the block, not from its start for each span.
+    """
+
+    def block(every: Column) -> Column:
+        first = F.element_at(every, 1)["at"]
+        end = F.greatest(F.element_at(every, -1)["s"], first)
+
+        def joined(cut: Column) -> Column:
+            gap = lambda x: F.when(x["s"] > x["at"], F.substring(cut["t"], x["at"] - cut["first"] + 1, x["s"] - x["at"])).otherwise("")
+            return F.array_join(F.transform(every, lambda x: F.concat(gap(x), fill(x))), "")
+
+        return _named(F.struct(first.alias("first"), F.substring(text, first + 1, end - first).alias("t")), joined)
+
+    def whole(every: Column) -> Column:
+        last = F.element_at(every, -1)
+        starts = F.sequence(F.lit(1), F.size(every), F.lit(_BLOCK))
+        blocks = F.transform(starts, lambda i: _named(F.slice(every, i, _BLOCK), block))
+        return F.concat(F.array_join(blocks, ""), F.substring(text, F.greatest(last["at"], last["e"]) + 1, F.length(text)))
+
+    return F.when(F.size(spans) > 0, _named(_reach(spans), whole)).otherwise(text)
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with blanks in place of the spans' characters."""
+    return _replaced(text, spans, lambda x: F.repeat(F.lit(" "), F.greatest(x["at"], x["e"]) - F.greatest(x["at"], x["s"])))
 
 
 def _with_pieces(x: Column) -> Column:
@@ -223,7 +330,7 @@ def _with_pieces(x: Column) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    """Candidate spans with the length class and p-value bin of each."""
+    """Candidate spans with the length class, p-value bin and steps of evidence of each."""
     every = F.flatten(F.transform(matches(text, CANDIDATE), _with_pieces))
     some = F.filter(every, lambda x: x["t"].rlike("[A-Za-z]") & x["t"].rlike("[0-9]") & (F.length(F.regexp_replace(x["t"], "=+$", "")) >= 20))
 
@@ -235,6 +342,7 @@ def _candidates(text: Column) -> Column:
                 F.least(F.floor(F.log2(m["n"])), F.lit(_LONGEST)).cast("int").alias("size"),
                 F.least(F.floor(-4 * F.log2(m["p"])), F.lit(_BINS)).cast("int").alias("bin"),
                 (m["n"] * F.log2(m["k"])).alias("bits"),
+                F.greatest(F.least(F.floor(evidence(F.regexp_replace(x["t"], "=+$", ""), m["n"] * F.log2(m["k"])) / _STEP), F.lit(_STEPS)), F.lit(0)).cast("int").alias("steps"),
             )
 
         return _named(battery(x["t"]), told)
@@ -242,15 +350,38 @@ def _candidates(text: Column) -> Column:
     return F.transform(some, classed)
 
 
-def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = 0.05, miss: float = 2**-10) -> dict[int, int]:
-    """For each class of length that has candidates, the bin below which they are reported (at most 17 numbers)."""
+def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = 0.05, miss: float = 2**-10) -> dict[int, tuple[int, int]]:
+    """For each class of length that has candidates, the bin below which and the steps of evidence from which they are reported (at most 17 pairs)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(F.explode(_candidates(_blanked(text, _base(text)))).alias("c"))
-    counts = found.groupBy("c.size", "c.bin").count().collect()  # at most 17 x 201 rows
-    own: dict[int, dict[int, int]] = {}
+    counts = found.groupBy("c.size", "c.bin", "c.steps").count().collect()  # at most 17 x 201 x 16 rows
+    own: dict[int, Counter] = {}
     for r in counts:
-        own.setdefault(r["size"], {})[r["bin"]] = r["count"]
-    return {size: cut_of(bins, fdr, miss) for size, bins in own.items()}
+        own.setdefault(r["size"], Counter())[r["bin"], r["steps"]] += r["count"]
+    out = {}
+    for size, cells in own.items():
+        bins = Counter()
+        for (b, _), n in cells.items():
+            bins[b] += n
+        cut = cut_of(bins, fdr, miss)
+        steps = Counter()
+        for (b, step), n in cells.items():
+            steps[step] += n if b < cut else 0
+        out[size] = (cut, least_steps(steps, sum(bins.values()), fdr))
+    return out
+
+
+def least_steps(steps: dict[int, int], tested: int, fdr: float) -> int:
+    """The fewest steps of evidence from which all of k strings are reported: ``tested / (fdr k)`` or more to one for each; beyond all steps if there are none.
+
+    Only what the battery left counts in ``steps``, all that was tested in ``tested``.
+    """
+    least, k = _STEPS + 1, 0
+    for step in range(_STEPS, 0, -1):
+        k += steps.get(step, 0)
+        if k and _STEP * step >= math.log2(tested / (fdr * k)):
+            least = step
+    return least
 
 
 def cut_of(bins: dict[int, int], fdr: float, miss: float) -> int:
@@ -277,10 +408,11 @@ def find(docs: DataFrame, text_col: str = "text", fdr: float = 0.05, min_bits: f
     out = docs.withColumn(base, _base(text))
     if not cuts:  # no candidate in any text
         return out.withColumn(into, F.array_sort(base)).drop(base)
-    cut = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
+    cut = F.create_map(*[x for size, pair in cuts.items() for x in (F.lit(size), F.struct(*[F.lit(v).alias(n) for n, v in zip(("bin", "steps"), pair, strict=True)]))])
     out = out.withColumn(rest, _candidates(_blanked(text, F.col(base))))
-    out = out.withColumn(rest, F.filter(rest, lambda x: (x["bits"] >= min_bits) & (x["bin"] < F.coalesce(F.try_element_at(cut, x["size"]), F.lit(0)))))
-    whole = F.filter(rest, lambda x: ~F.exists(rest, lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]) & (y["e"] - y["s"] > x["e"] - x["s"])))
+    reported = lambda x: _named(F.try_element_at(cut, x["size"]), lambda c: (x["bits"] >= min_bits) & (x["bin"] < c["bin"]) & (x["steps"] >= c["steps"]))
+    out = out.withColumn(rest, F.filter(rest, lambda x: F.coalesce(reported(x), F.lit(False))))
+    whole = F.filter(_reach(F.col(rest)), lambda x: x["e"] > x["at"])  # a piece of a longer one ends within its reach
     return out.withColumn(into, F.array_sort(F.concat(base, _ranked(whole, 3)))).drop(base, rest)
 
 
@@ -303,11 +435,5 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", fdr:
     spans = unused(docs, "spans")
     found = find(docs, text_col, fdr=fdr, into=spans)
 
-    def merge(state: Column, x: Column) -> Column:
-        gap = F.when(x["s"] >= state["at"], F.concat(F.substring(F.col(text_col), state["at"] + 1, x["s"] - state["at"]), F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(state["at"], x["e"]).alias("at"), F.concat(state["out"], gap).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda s: F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, F.length(text_col)))
-    clean = F.when(F.size(spans) > 0, F.aggregate(spans, start, merge, rest)).otherwise(F.col(text_col))
+    clean = _replaced(F.col(text_col), F.col(spans), lambda x: F.when(x["s"] >= x["at"], F.lit(mark)).otherwise(""))
     return found.withColumn(text_col, clean).drop(spans)

@@ -1,5 +1,10 @@
+import math
 import random
 import re
+import time
+from collections import Counter
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -127,6 +132,119 @@ def test_precision_and_recall(spark):
     assert recall > 0.95 and precision > 0.9, (recall, precision)
 
 
+NAMES = ["getUserAccountById2ForTenant", "HelloWorldThisIsATest12345", "customer_order_report_2024_final", "src/main/java/org/example/Service2Impl", "release-candidate-2024-11-28-build7"]
+
+
+def natural(rng):
+    words = "wonder forest travel kitchen silver window garden summer yellow bridge castle marble sister letter orange basket".split()
+    some = rng.sample(words, 4)
+    joined = rng.choice(["_".join(some), "".join(w.title() for w in some), "/".join(some), some[0] + "".join(w.title() for w in some[1:])])
+    return joined + str(rng.randint(1, 9999))
+
+
+@pytest.mark.parametrize("n", [1, 5, 50])
+def test_few_natural_names(spark, n):
+    """What is reported for a natural string doesn't turn on how many others there are."""
+    rng = random.Random(n)
+    for names in ([NAMES[k % 5] for k in range(n)], [natural(rng) for _ in range(n)]):
+        df = spark.createDataFrame([(f"see https://example.org and {t} there",) for t in names], "text string")
+        assert df.transform(secrets.find).where(secrets.count_of(F.col("secret_spans"), "random") > 0).count() <= n * 0.05
+
+
+def test_one_secret_among_natural_names(spark):
+    rng = random.Random(21)
+    b64 = "BCDEFGHIJKLMNOPQRSTUVWXYZbcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(0, f"see {natural(rng)} there") for _ in range(50)] + [(1, "see " + "".join(rng.choice(b64) for _ in range(40)))]
+    found = secrets.find(spark.createDataFrame(rows, "kind int, text string")).where(secrets.count_of(F.col("secret_spans"), "random") > 0)
+    assert [r.kind for r in found.collect()] == [1]
+
+
+def plain_p(t):
+    """The battery's p-value, loop by loop, with the library's error function."""
+    body = t.rstrip("=")
+    alphabet = next(a for p, a in secrets.ENCODINGS if re.match(p, body))
+    codes, n, k = [alphabet.index(c) + 1 for c in body], len(body), len(alphabet)
+    pairs, q = n * (n - 1) / 2, 1 / k
+    found = sum(codes[i] == codes[j] for i in range(n) for j in range(i))
+    var = pairs * q * (1 - q)
+    third = var * (1 - 2 * q) + n * (n - 1) * (n - 2) * q * q * (1 - q)
+    shape = 4 * var**3 / third**2
+    gamma = max(shape + (found - pairs * q) / math.sqrt(var) * math.sqrt(shape), 1e-9)
+    z = ((gamma / shape) ** (1 / 3) - (1 - 1 / (9 * shape))) * 3 * math.sqrt(shape)
+    upper = math.erfc(max(min(z, 8), -8) / math.sqrt(2)) / 2
+    high = math.ceil(k / 2) / k
+    turn = 2 * high * (1 - high)
+    turns = sum((a > k / 2) != (b > k / 2) for a, b in zip(codes, codes[1:], strict=False))
+    runs = (turns - (n - 1) * turn) / math.sqrt((n - 1) * turn * (1 - turn))
+    serial = sum((a - (k + 1) / 2) * (b - (k + 1) / 2) for a, b in zip(codes, codes[1:], strict=False)) / ((k * k - 1) / 12 * math.sqrt(n - 1))
+    r = -0.75 * k * k / (k * k - 1)
+    joined = (runs**2 + serial**2 - 2 * r * runs * serial) / (2 * (1 - r * r)) - math.log(upper)
+    return math.exp(-joined) * (1 + joined)
+
+
+def plain_evidence(t):
+    table, size = secrets.natural_bits(), len(secrets.CHARACTERS) + 1
+    codes = [0, *[secrets.CHARACTERS.index(c) + 1 for c in t]]
+    alphabet = next(a for p, a in secrets.ENCODINGS if re.match(p, t))
+    return sum(table[a * size + b] for a, b in zip(codes, codes[1:], strict=False)) - len(t) * math.log2(len(alphabet)) - math.log2(9)
+
+
+def test_battery_and_evidence_by_plain_loops(spark):
+    rng = random.Random(5)
+    rows = [("".join(rng.choice(a) for _ in range(rng.randint(20, 90))),) for _, a in secrets.ENCODINGS for _ in range(20)] + [(t,) for t in NAMES]
+    tested = secrets.battery(F.col("t"))
+    df = spark.createDataFrame(rows, "t string").select("t", tested["p"].alias("p"), secrets.evidence(F.regexp_replace("t", "=+$", ""), tested["n"] * F.log2(tested["k"])).alias("bits"))
+    for r in df.collect():
+        assert r.p == pytest.approx(max(plain_p(r.t), 1e-60), rel=1e-3, abs=1e-9), r.t
+        assert r.bits == pytest.approx(plain_evidence(r.t.rstrip("=")), abs=0.02), r.t
+
+
+def test_natural_model_is_a_distribution():
+    size = len(secrets.CHARACTERS) + 1
+    for row in range(size):
+        assert sum(2**-b for b in secrets.natural_bits()[row * size + 1 : (row + 1) * size]) == pytest.approx(1, abs=1e-9)
+
+
+def test_steps_of_evidence_by_trying_all():
+    rng = random.Random(8)
+    for _ in range(300):
+        values = [rng.randint(0, 15) for _ in range(rng.randint(0, 40))]
+        tested = len(values) + rng.randint(0, 500) or 1
+        fits = [s for s in range(1, 16) if (k := sum(v >= s for v in values)) and 2 ** (4 * s) >= tested / (0.05 * k)]
+        assert secrets.least_steps(Counter(values), tested, 0.05) == min(fits, default=16)
+
+
+def test_reach_and_replacement_over_blocks(spark):
+    """Spans that nest and overlap, more than a block of them, against slices of the text."""
+    rng = random.Random(13)
+    rows = []
+    for n in (0, 1, 3, 255, 256, 257, 900):
+        text = "".join(rng.choice("aé🙂z ") for _ in range(4000))
+        spans = [(s, rng.randrange(4), s + rng.randint(1, 30)) for s in rng.choices(range(3950), k=n)]
+        rows.append((text, spans))
+    df = spark.createDataFrame(rows, "text string, spans array<struct<s:int,rank:int,e:int>>")
+    for r in df.select("text", "spans", secrets._blanked(F.col("text"), F.col("spans")).alias("blank")).collect():
+        covered = {i for s, _, e in r.spans for i in range(s, e)}
+        assert r.blank == "".join(" " if i in covered else c for i, c in enumerate(r.text))
+
+
+def test_time_of_many_matches_is_proportional(spark):
+    """Ten times the digests in one text take no more than about ten times as long."""
+    rng = random.Random(17)
+
+    def seconds(n):
+        text = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(40)) if k % 2 else f"integrity sha512-{rng.getrandbits(200):050x}Zz{k}" for k in range(n))
+        df = spark.createDataFrame([(text,)], "text string")
+        began = time.time()
+        clean = secrets.redact(df).first().text
+        assert clean.count("[SECRET]") >= n * 0.9
+        return time.time() - began
+
+    seconds(200)
+    few, many = seconds(2000), seconds(20000)
+    assert many < 20 * few + 5, (few, many)
+
+
 def test_many_matches_in_one_text(spark):
     text = "é " + "token=abcdef1 x " * 700 + "AKIA" + "B" * 20
     got = secrets.find(spark.createDataFrame([(text,)], "text string")).select(secrets.rendered(F.col("secret_spans"), 3)).first()[0]
