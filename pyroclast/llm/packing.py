@@ -21,6 +21,7 @@ columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +39,9 @@ CAPACITY = 2048
 END = 1
 DIMENSIONS, BITS = 4, 15
 
+#: Neighbouring words that a tokenizer may treat differently beside white space.
+PROBES = [("a", "b"), ("The", "end."), ("don't", "'s"), ("12", "3rd"), ("!?", "..."), ("été", "日本"), ("e", "\u0301x")]
+
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -87,7 +91,8 @@ def curve_keys(hashes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 class Tokens:
     """Token ids of texts through the tokenizers library, each distinct word of white-space-cut text once.
 
-    This asks of the tokenizer that white space separates words and is dropped.
+    This asks of the tokenizer that white space separates words and is dropped, which is
+    tried when it is loaded (ValueError if it isn't so).
     The words go in as one string with a special token between them.
     """
 
@@ -98,13 +103,28 @@ class Tokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         special = self.tokenizer.get_added_tokens_decoder()
-        self.mark_id, self.mark = next((i, t.content) for i, t in sorted(special.items(), reverse=True))
         self.special = [t.content for t in special.values()]
+        if not special or any(not s or any(c.isspace() for c in s) for s in self.special):
+            raise ValueError(f"{path}: words need a special token between them, and none may hold white space")
+        self.mark_id, self.mark = max((i, t.content) for i, t in special.items())
+        self.lead = os.path.commonprefix(self.special)  # spares most words a search for each special token
+        self._try(path)
         self.cache = WordCache(self._encode)
 
+    def _try(self, path: str) -> None:
+        """Raise ValueError unless words have the same ids alone, between white space, and between special tokens."""
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        for one, two in PROBES:
+            apart = [ids(one), ids(two)]
+            for space in " \t\n\v\f\r":
+                if ids(f"{space}{one}{space}{space}{two}{space}") != apart[0] + apart[1]:
+                    raise ValueError(f"{path}: white space doesn't only separate words")
+            if ids(one + self.mark + two) != [*apart[0], self.mark_id, *apart[1]]:
+                raise ValueError(f"{path}: {self.mark} doesn't only separate words")
+
     def _encode(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [w.decode("utf-8", "replace") for w in raw]
-        odd = {i: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for i, t in enumerate(texts) if "<|" in t and any(s in t for s in self.special)}
+        odd = {i: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for i, t in enumerate(texts) if self.lead in t and any(s in t for s in self.special)}
         for i in odd:
             texts[i] = ""
         parts, counts = [], []

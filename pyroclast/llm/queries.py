@@ -21,7 +21,8 @@ def tokenizer(name: str) -> str:
 
 
 def _fold(id_col: str, folds: int) -> Column:
-    return F.crc32(F.col(id_col).cast("string")) % folds
+    """The fold of a row's id, 0 for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds, F.lit(0))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
+import zlib
+
 import numpy as np
 import pytest
 
 from pyroclast.llm import language_id, quality
-from pyroclast.llm.queries import op2_language_id, op4_quality
+from pyroclast.llm.queries import _fold, op2_language_id, op4_quality
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -80,6 +82,14 @@ def test_quality_odd_rows(odd, empty, spark):
     assert quality.score(empty, m).count() == 0
 
 
+def test_fold_of_null_ids(spark):
+    """A row without an id is in fold 0, so ``held_out`` is never null."""
+    ids = spark.createDataFrame([(None,), (1,), (2,)], "doc_id long")
+    for folds in (3, 5):
+        got = {r.doc_id: r.f for r in ids.select("doc_id", _fold("doc_id", folds).alias("f")).collect()}
+        assert got == {None: 0} | {i: zlib.crc32(str(i).encode()) % folds for i in (1, 2)}
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(0)
     m = quality.Model(0.3, rng.normal(size=quality.size_of(quality.STATS)).astype(np.float32), rng.normal(size=(quality.size_of(quality.STATS), quality.RANK)).astype(np.float32) * 0.1, None, None, None)

@@ -24,7 +24,7 @@ def test_stages(spark):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_odd_rows_through_all_stages(spark, odd, empty):

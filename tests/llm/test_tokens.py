@@ -149,3 +149,9 @@ def test_word_hashes_and_comparison():
     other = np.random.default_rng(1).permutation(len(pool))
     size = np.minimum(ends - starts, (ends - starts)[other])
     assert same(data, starts, data, starts[other], size).tolist() == [pool[i][:n] == pool[j][:n] for i, j, n in zip(range(len(pool)), other, size, strict=True)]
+
+
+def test_tokenizers_that_keep_white_space_are_refused():
+    with pytest.raises(ValueError, match="white space"):
+        packing.Tokens(BYTE)
+    assert packing.Tokens(WORD).lead == "<|"
