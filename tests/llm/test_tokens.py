@@ -155,3 +155,48 @@ def test_tokenizers_that_keep_white_space_are_refused():
     with pytest.raises(ValueError, match="white space"):
         packing.Tokens(BYTE)
     assert packing.Tokens(WORD).lead == "<|"
+
+
+def plain_and_odd():
+    rng = random.Random(3)
+    bits = [*packing.LETTERS, *"etaoin" * 20]
+    plain = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) + rng.choice(["", "", ",", ".", "$$$", '!"', "</"]) for _ in range(9000)] + ["###", "&", "e", "É."]
+    odd = ["don't", "a'", "été", "é", "12", "3rd", "a.b", "×", "÷", "日本", "Ã", "naïve1", "İ", "<|endoftext|>", "x<|endoftext|>", "end.</w>", "</w>", "\x00", "ß'ß"]
+    return plain, odd
+
+
+def test_kinds_of_words():
+    plain, odd = plain_and_odd()
+    letters, marks = set(packing.LETTERS), set(packing.MARKS)
+    for w, n in zip(plain + odd, packing.pieces_of([w.encode() for w in plain + odd]).tolist(), strict=True):
+        body = w.rstrip("".join(marks))
+        assert n == (bool(body) + (body != w) if set(body) <= letters else 0), w
+    assert packing.pieces_of([]).tolist() == []
+
+
+@pytest.mark.parametrize("broken", [None, "opens", "every"])
+def test_plain_words_need_no_special_token(broken, monkeypatch):
+    plain, odd = plain_and_odd()
+    marked, tokens = [], packing.Tokens(WORD)
+    if broken:  # ids that don't show as many pieces as the words have
+        tokens.closing[:] = broken == "every"
+    monkeypatch.setattr(packing.Tokens, "_marked", lambda self, raw, old=packing.Tokens._marked: marked.extend(raw) or old(self, raw))
+    mixed = random.Random(4).sample(plain + odd, len(plain + odd))
+    ids, count = tokens._encode([w.encode() for w in mixed])
+    t = library(WORD)
+    assert [p.tolist() for p in np.split(ids, np.cumsum(count)[:-1])] == [t.encode(w, add_special_tokens=False).ids for w in mixed]
+    if not broken:
+        assert set(marked) <= {w.encode() for w in odd}
+
+
+def test_cache_grows_and_is_emptied():
+    limit = 50_000
+    cache = WordCache(lambda raw: (np.array([len(w) for w in raw], np.uint32), np.ones(len(raw), np.int64)), limit)
+    for a in (0, 20_000, 35_000, 60_000, 10_000):
+        text = " ".join(f"w{i:0{5 + i % 9}}" for i in range(a, a + 25_000)).encode()
+        data = np.frombuffer(text, np.uint8)
+        starts, ends, _ = words(data, np.array([0, len(data)]))
+        for _ in range(2):
+            ids, count, _ = cache.tokens(data, starts, ends)
+            assert np.array_equal(ids, ends - starts) and (count == 1).all()
+        assert 25_000 <= cache.n <= limit and len(cache.slots) >= 2 * cache.n
