@@ -173,7 +173,9 @@ def prefix_hash(values: np.ndarray) -> np.ndarray:
     power, _ = _power(len(values) + 1)
     sums = np.zeros(len(values) + 1, _U)
     with np.errstate(over="ignore"):
-        np.cumsum((values.astype(_U) + _U(1)) * power[: len(values)], out=sums[1:])
+        terms = values.astype(_U, copy=False) + _U(1)
+        terms *= power[: len(values)]
+        np.cumsum(terms, out=sums[1:])
     return sums
 
 
@@ -185,6 +187,17 @@ def slice_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return mix(h + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+def slice_hashes(sums: np.ndarray, width: int) -> np.ndarray:
+    """What :func:`slice_hash` gives for all slices of ``width`` values, in order."""
+    _, inverse = _power(len(sums))
+    many = max(0, len(sums) - width)
+    with np.errstate(over="ignore"):
+        h = sums[width:] - sums[:many]
+        h *= inverse[:many]
+        h += _U(width) * _U(0xD6E8FEB86659FD93)
+    return mix(h)
+
+
 def grams(values: np.ndarray, n: int) -> np.ndarray:
     """Order-sensitive hashes of n consecutive 64-bit values."""
     if len(values) < n:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pyroclast.llm.arrays import as_long, flat, mix, prefix_hash, ragged, slice_hash, slices, to_binary
+from pyroclast.llm.arrays import as_long, flat, mix, prefix_hash, ragged, slice_hash, slice_hashes, slices, to_binary
 from pyroclast.llm.storage import stored
 
 #: Parts that one shard holds on average, and that one core may have there.
@@ -90,15 +90,13 @@ def leftmost_least(keys: np.ndarray, width: int) -> np.ndarray:
     out = np.empty(max(0, len(keys) - width + 1), np.int64)
     for a in range(0, len(out), _SEGMENT):
         some = keys[a : a + _SEGMENT + width - 1]
-        packed = (some & ~_U((1 << 24) - 1)) | np.arange(len(some), dtype=_U)
-        blocks = -(-len(some) // width)
-        grid = np.full(blocks * width, ~_U(0), _U)
-        grid[: len(some)] = packed
-        grid = grid.reshape(blocks, width)
-        left = np.minimum.accumulate(grid, axis=1).ravel()
-        right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+        least, reach = (some & ~_U((1 << 24) - 1)) | np.arange(len(some), dtype=_U), 1  # the least of ``reach`` keys from each on
+        while 2 * reach <= width:
+            least = np.minimum(least[:-reach], least[reach:])
+            reach *= 2
         n = len(some) - width + 1
-        out[a : a + n] = (np.minimum(right[:n], left[width - 1 : width - 1 + n]) & _U((1 << 24) - 1)).astype(np.int64) + a
+        least = np.minimum(least[:n], least[width - reach : width - reach + n])
+        out[a : a + n] = (least & _U((1 << 24) - 1)).astype(np.int64) + a
     return out
 
 
@@ -110,7 +108,7 @@ def spans(units: np.ndarray, offsets: np.ndarray, shape: Shape, method: Method)
         return Spans(none, none, none, none, none.view(_U), none.view(_U))
     n = len(units)
     sums = prefix_hash(method.values(units))
-    grams = slice_hash(sums, np.arange(n - shape.gram + 1), np.arange(shape.gram, n + 1) - method.ahead)
+    grams = slice_hashes(sums, shape.gram - method.ahead)[: n - shape.gram + 1]
     anchor = leftmost_least(grams, shape.width - shape.gram + 1)[window]
     doc = np.repeat(np.arange(len(count)), count)
     first = np.ones(len(window), bool)

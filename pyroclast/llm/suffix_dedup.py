@@ -38,42 +38,52 @@ def values(count: int):
     return run
 
 
-def _split(bucket: np.ndarray, later: np.ndarray) -> np.ndarray:
-    """Buckets refined by a second key; ids stay sorted and dense."""
-    order = np.lexsort((later, bucket))
-    new = np.ones(len(order), bool)
-    new[1:] = (bucket[order][1:] != bucket[order][:-1]) | (later[order][1:] != later[order][:-1])
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new) - 1
+def _buckets(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Dense numbers of the keys' values in their order; keys are below 2 to the power of ``bits``."""
+    n = len(keys)
+    shift = n.bit_length()
+    if bits + shift < 64:  # keys and places sorted as one number
+        both = np.sort(keys << np.int64(shift) | np.arange(n))
+        order, keys = both & ((1 << shift) - 1), both >> np.int64(shift)
+    else:
+        order = np.argsort(keys)
+        keys = keys[order]
+    number = np.zeros(n, np.int64)
+    np.cumsum(keys[1:] != keys[:-1], out=number[1:])
+    out = np.empty(n, np.int64)
+    out[order] = number
     return out
 
 
+def _split(bucket: np.ndarray, later: np.ndarray, count: int) -> np.ndarray:
+    """Buckets refined by a second key, both below ``count`` (a shard's bytes, under 2^31); ids stay sorted and dense."""
+    bits = count.bit_length()
+    return _buckets(bucket << np.int64(bits) | later, 2 * bits)
+
+
 def refine(data: np.ndarray, at: np.ndarray, shape: Shape, q: int = QGRAM) -> np.ndarray:
     """For each window of each content, whether its bucket at the depth of the window has company."""
     size = np.diff(at)
     windows = ragged(at[:-1], np.maximum(size - shape.width + 1, 0))
     # Suffixes that have q bytes left; what they hold is their first bucket.
     place = ragged(at[:-1], np.maximum(size - q + 1, 0))
-    grams = np.zeros(len(place), np.uint64)
-    for i in range(q):
-        grams = grams << np.uint64(8) | data[place + i].astype(np.uint64)
     pointer = np.full(len(data) + 1, -1, np.int64)
-    pointer[place] = np.unique(grams, return_inverse=True)[1]
-    end = np.repeat(at[1:], size)
+    pointer[place] = _buckets((eights(data)[place] & np.uint64((1 << 8 * q) - 1)).view(np.int64), 64)
+    left = np.repeat(at[1:], size) - np.arange(len(data))
     depth = q
     while depth < shape.width:
         step = min(depth, shape.width - depth)
-        alive = place[end[place] - place >= depth + step]
-        own = pointer[alive]
+        place = place[left[place] >= depth + step]
+        own = pointer[place]
         company = np.bincount(own, minlength=1)[own] > 1
-        some = alive[company]
-        fine = np.arange(len(alive)) * 0
-        fine[company] = _split(own[company], pointer[some + step])
-        fine[~company] = (fine[company].max(initial=-1) + 1) + np.arange(int((~company).sum()))
+        if company.all():
+            fine = _split(own, pointer[place + step], len(data))
+        else:
+            fine = np.empty(len(place), np.int64)
+            fine[company] = _split(own[company], pointer[place[company] + step], len(data))
+            fine[~company] = (fine[company].max(initial=-1) + 1) + np.arange(len(place) - int(company.sum()))
         # The windows' own starts are settled last; pointers of shorter suffixes are not used again.
-        pointer = np.full(len(data) + 1, -1, np.int64)
-        pointer[alive] = fine
-        place = alive
+        pointer[place] = fine
         depth += step
     own = pointer[windows]
     return np.bincount(own, minlength=1)[own] > 1

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -152,3 +153,49 @@ def test_segments_cover_every_window_once(monkeypatch):
         assert windows == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - 11)]
         rows[segment] = {(r["key"], r["at"] + k): (r["gram"], r["at"] + r["anchor"]) for r in out for k in range(r["windows"])}
     assert rows[50] == rows[1 << 20]
+
+
+def test_buckets():
+    rng = np.random.default_rng(5)
+    for keys, bits in ((rng.integers(0, 50, 300), 6), (rng.integers(-(1 << 63), 1 << 63, 300) // (1 << 57), 64), (np.zeros(0, np.int64), 3), (np.array([4]), 62)):
+        assert suffix_dedup._buckets(keys, bits).tolist() == np.unique(keys, return_inverse=True)[1].tolist()
+
+
+def test_refining_costs_a_few_sorts():
+    """Pairs of equal texts keep every suffix in company to the end; five rounds take less than three sorts by two keys."""
+    rng = np.random.default_rng(6)
+    texts = rng.integers(97, 123, (130, 2000)).astype(np.uint8)
+    data, at = np.repeat(texts, 2, axis=0).ravel(), np.arange(0, 260 * 2000 + 1, 2000)
+    keys = rng.integers(0, len(data), (2, len(data)))
+
+    def least(run):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert suffix_dedup.refine(data, at, Shape(200, 32, 43)).all()
+    assert least(lambda: suffix_dedup.refine(data, at, Shape(200, 32, 43))) < 3 * least(lambda: np.lexsort(keys))
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 8, 169])
+def test_least_key_of_each_window(width, monkeypatch):
+    from pyroclast.llm import repeats
+
+    keys = np.random.default_rng(width).integers(0, 9, 500).astype(np.uint64) << np.uint64(40)
+    want = [i + int(np.argmin(keys[i : i + width])) for i in range(501 - width)]
+    assert repeats.leftmost_least(keys, width).tolist() == want
+    monkeypatch.setattr(repeats, "_SEGMENT", 64)
+    assert repeats.leftmost_least(keys, width).tolist() == want
+    assert repeats.leftmost_least(keys[: width - 1], width).tolist() == []
+
+
+def test_hashes_of_all_slices():
+    from pyroclast.llm.arrays import prefix_hash, slice_hash, slice_hashes
+
+    sums = prefix_hash(np.random.default_rng(2).integers(0, 1 << 60, 100).astype(np.uint64))
+    for width in (1, 25, 100, 101, 150):
+        starts = np.arange(max(0, 101 - width))
+        assert slice_hashes(sums, width).tolist() == slice_hash(sums, starts, starts + width).tolist()
