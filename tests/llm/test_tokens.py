@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -200,3 +201,21 @@ def test_cache_grows_and_is_emptied():
             ids, count, _ = cache.tokens(data, starts, ends)
             assert np.array_equal(ids, ends - starts) and (count == 1).all()
         assert 25_000 <= cache.n <= limit and len(cache.slots) >= 2 * cache.n
+
+
+def test_new_words_cost_little_more_than_the_library():
+    """Words that are all new take little more than the tokenizer by itself takes for their text."""
+    rng = random.Random(11)
+    fresh = {"".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(6, 11))) + rng.choice(["", "", ",", "."]) for _ in range(60_000)}
+    text = " ".join(sorted(fresh))
+    t, column = library(WORD), pa.array([text])
+    ratios = []
+    for _ in range(3):
+        tokens = packing.Tokens(WORD)  # its cache is empty
+        began = time.process_time()
+        want = t.encode(text, add_special_tokens=False).ids
+        between = time.process_time()
+        ids = tokens.encode(*flat(column), 1)[0]
+        ratios.append((time.process_time() - between) / (between - began))
+        assert ids.tolist() == [*want, 1]
+    assert min(ratios) < 1.3, ratios
