@@ -87,9 +87,9 @@ def _uncovered(plans: DataFrame, radius: float) -> DataFrame:
     def measure(r: SimpleNamespace, edge, region, walls) -> list[tuple]:
         spots = drawn._spots(r.devices)
         left = [sum(planar.area_of(p) for p in planar.pieces(planar.difference(region, [planar.circle(x, y, reach) for x, y in spots], grid=1e-5))) for reach in (radius, radius + floor_rules.MARGIN)]
-        return [(r.floor, round(left[0], 3), round(left[1], 3))]
+        return [(round(left[0], 3), round(left[1], 3))]
 
-    return drawn._measured(plans, measure, "floor long, uncovered double, beyond double")
+    return drawn._measured(plans, {"devices": F.col("devices")}, measure, "floor long, uncovered double, beyond double")
 
 
 def distance_rule(kind: str, rule: str, radius: float, from_level: int | None = None) -> Callable[[Case], DataFrame]:
