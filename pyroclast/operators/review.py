@@ -58,11 +58,7 @@ def rooms_of(plans: DataFrame) -> DataFrame:
 
 def rooms_with(equipment: DataFrame, rooms: DataFrame, size: float = 10.0) -> DataFrame:
     """The room that each device stands in, the largest where several do."""
-    axis = lambda f, *k: f(F.flatten(F.transform("edges", lambda e: F.array(*[e[c] for c in k]))))
-    shaped = rooms.select("floor", "room", "id", drawn.ring_edges(F.col("rings")).alias("edges"))
-    boxed = shaped.withColumn("cell", F.explode(spatial.cells(axis(F.array_min, "ax"), axis(F.array_min, "ay"), axis(F.array_max, "ax"), axis(F.array_max, "ay"), size)))
-    cell = F.struct(F.floor(F.col("x") / size).cast("long").alias("i"), F.floor(F.col("y") / size).cast("long").alias("j"))
-    met = equipment.withColumn("cell", cell).join(boxed, ["floor", "cell"]).where(drawn.in_rings(F.col("x"), F.col("y"), F.col("edges")))
+    met = drawn.standing_in(equipment, rooms.select("floor", "room", "id", drawn.ring_edges(F.col("rings")).alias("edges")), size)
     return equipment.join(met.groupBy("floor", "device").agg(F.min_by("id", "room").alias("id")), ["floor", "device"])
 
 

@@ -1,5 +1,6 @@
 import heapq
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -224,3 +225,22 @@ def test_greedy_assignment_is_one_after_the_other(spark):
     got = {(r.floor, r.ord): (r.place, r.distance) for r in spatial.greedy_nearest(df, at, "floor", 3.0).collect()}
     assert set(got) == set(want) and all(got[k][0] == p and got[k][1] == pytest.approx(d) for k, (p, d) in want.items())
     assert spatial.greedy_nearest(df.where("false"), at, "floor", 3.0).count() == spatial.greedy_nearest(df, at.where("false"), "floor", 3.0).count() == 0
+
+
+def test_devices_fall_in_high_buildings(spark):
+    """Each device against its own levels; a high building's devices don't meet all of its openings."""
+    rng = np.random.default_rng(4)
+    openings = {(b, n, float(x)) for b, n in ((1, 3000), (2, 40)) for n, x in zip(range(-3, n), rng.integers(0, 3, n + 3), strict=True) if n % 7 and n % 3 < 2 or b == 2 and n % 7}
+    spots = [(b, k, int(rng.integers(-3, n)), float(rng.integers(0, 5)) + 0.5, 0.5) for b, n, m in ((1, 3000, 40_000), (2, 40, 300)) for k in range(m)] + [(1, 90_000, None, 0.5, 0.5), (1, 90_001, 1, None, 0.5)]
+    want = {}
+    for b, k, level, x, _ in spots:
+        lands = level
+        while x is not None and any((b, lands, x - 0.5 - d) in openings for d in (0, 1)):
+            lands -= 1
+        want[b, k] = lands
+    df = spark.createDataFrame(spots, "building int, device int, level int, x double, y double")
+    holes = spark.createDataFrame([(b, n, x, 0.0, x + 2, 1.0) for b, n, x in openings], "building int, level int, x0 double, y0 double, x1 double, y1 double")
+    began = time.time()
+    got = {(r.building, r.device): (r.lands, r.projected) for r in spatial.project_down(df, holes).collect()}
+    assert time.time() - began < 25 and {k: v for k, (v, _) in got.items()} == want
+    assert all(p == (lands is not None and lands != level) for (b, k, level, _, _) in spots for lands, p in [got[b, k]])
