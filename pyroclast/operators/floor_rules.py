@@ -67,12 +67,26 @@ def extinguisher_walk(floors: DataFrame, limit: float = EXTINGUISHER_WALK) -> Da
 def devices_near_rooms(rooms: DataFrame, devices: DataFrame, radius: float = 3.0, per: float = 100.0) -> DataFrame:
     """One device for each begun ``per`` m² within ``radius`` of a room's centre.
 
-    ``rooms``: room, x, y, area; ``devices``: device, x, y.
+    ``rooms``: room, x, y, area; ``devices``: device, x, y.  Rooms, and devices, that stand in one place meet as one: places are
+    paired on grid cells, and a room has as many devices as stand near its place.  A room or device with several places counts by itself, once.
     """
-    near = devices.select(F.col("device").alias("d"), F.col("x").alias("dx"), F.col("y").alias("dy"), F.explode(spatial.cells(F.col("x") - radius, F.col("y") - radius, F.col("x") + radius, F.col("y") + radius, radius)).alias("cell"))
-    cell = F.struct(F.floor(F.col("x") / radius).cast("long").alias("i"), F.floor(F.col("y") / radius).cast("long").alias("j"))
-    met = rooms.withColumn("cell", cell).join(near, "cell").where(F.hypot(F.col("x") - F.col("dx"), F.col("y") - F.col("dy")) <= radius)
-    have = met.groupBy("room").agg(F.count_distinct("d").alias("have"))
+    def placed(df: DataFrame, key: str, p: str) -> DataFrame:
+        """Rows (key, crowd, x, y): a crowd is all that stand in one place and in no other, or one that stands in several."""
+        rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col("x").alias(p + "x"), F.col("y").alias(p + "y"))
+        at = F.struct(p + "x", p + "y")
+        ends = rows.groupBy("k").agg(F.min(at).alias("low"), F.max(at).alias("high"))
+        several = F.col("low") != F.col("high")
+        crowds = ends.select("k", F.struct(F.when(several, F.col("k")).alias("k"), F.when(~several, F.col("low")).alias("at")).alias(p + "crowd"))
+        return rows.join(crowds, "k")
+
+    r, d = placed(rooms, "room", "r"), placed(devices, "device", "d")
+    x, y = F.col("dx"), F.col("dy")
+    near = d.select("dcrowd", "dx", "dy").distinct().withColumn("cell", F.explode(spatial.cells(x - radius, y - radius, x + radius, y + radius, radius)))
+    cell = F.struct(F.floor(F.col("rx") / radius).cast("long").alias("i"), F.floor(F.col("ry") / radius).cast("long").alias("j"))
+    met = r.select("rcrowd", "rx", "ry").distinct().withColumn("cell", cell).join(near, "cell").where(F.hypot(F.col("rx") - F.col("dx"), F.col("ry") - F.col("dy")) <= radius)
+    many = d.groupBy("dcrowd").agg(F.count_distinct("k").alias("many"))
+    by_crowd = met.select("rcrowd", "dcrowd").distinct().join(many, "dcrowd").groupBy("rcrowd").agg(F.sum("many").alias("have"))
+    have = r.select("k", "rcrowd").distinct().join(by_crowd, "rcrowd").select(F.col("k").alias("room"), "have")
     rows = rooms.select("room", rules.needed(F.col("area"), per).alias("need")).join(have, "room", "left").withColumn("have", F.coalesce("have", F.lit(0)))
     return rows.where("have < need").select("room", F.lit("EXT-31-2").alias("rule"), F.lit("RED").alias("severity"), "need", "have")
 

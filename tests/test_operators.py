@@ -1,12 +1,13 @@
 import heapq
 import itertools
+import math
 import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pyroclast.operators import boxtable, equipment, graph, hierarchy, relational, retrieval, rules, spatial, state
+from pyroclast.operators import boxtable, equipment, floor_rules, graph, hierarchy, relational, retrieval, rules, spatial, state
 
 
 def test_relational_edges(spark):
@@ -244,3 +245,23 @@ def test_devices_fall_in_high_buildings(spark):
     got = {(r.building, r.device): (r.lands, r.projected) for r in spatial.project_down(df, holes).collect()}
     assert time.time() - began < 25 and {k: v for k, (v, _) in got.items()} == want
     assert all(p == (lands is not None and lands != level) for (b, k, level, _, _) in spots for lands, p in [got[b, k]])
+
+
+def test_crowds_of_rooms_and_devices(spark):
+    """Rooms and devices in few places, some in several: each device counts once for a room, and places meet instead of rows."""
+    rng = np.random.default_rng(6)
+    spot = lambda: (float(rng.integers(0, 12)), float(rng.integers(0, 12)))
+    rooms = [(int(rng.integers(0, 120)) if k % 9 == 0 else 200 + k, *spot(), float(rng.integers(0, 60)) * 100) for k in range(400)] + [(None, 1.0, 1.0, 500.0), (900, None, 1.0, 500.0), (901, 1.0, 1.0, None)]
+    devices = [(int(rng.integers(0, 40)) if k % 4 == 0 else 100 + k, *spot()) for k in range(150)] + [(7, None, 1.0), (None, 1.0, 1.0)]
+    area = {}
+    have = {r: set() for r, *_ in rooms}
+    for r, x, y, a in rooms:
+        area.setdefault(r, []).append(a)
+        have[r] |= {d for d, u, v in devices if None not in (r, d, x, y, u, v) and math.hypot(x - u, y - v) <= 3}
+    want = sorted((r if r is not None else -1, need, len(have[r])) for r, told in area.items() for a in told if a is not None for need in [math.ceil(a / 100 - 1e-9)] if len(have[r]) < need)
+    schema = "room int, x double, y double, area double", "device int, x double, y double"
+    got = floor_rules.devices_near_rooms(spark.createDataFrame(rooms, schema[0]), spark.createDataFrame(devices, schema[1]))
+    assert sorted((-1 if r.room is None else r.room, r.need, r.have) for r in got.collect()) == want and 50 < len(want) < 350
+    began = time.time()
+    many = floor_rules.devices_near_rooms(spark.range(100_000).selectExpr("id room", "0.0D x", "1.0D y", "1000000.0D area"), spark.range(9_000).selectExpr("id device", "2.0D x", "2.0D y"))
+    assert many.groupBy("need", "have").count().collect() == [(10_000, 9_000, 100_000)] and time.time() - began < 15
